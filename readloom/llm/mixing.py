@@ -6,8 +6,8 @@ documents are undecided, their probabilities move along the null space of the tw
 (documents, words) until one reaches 0 or 1, so that both totals stay what they were. This flight runs in
 blocks of a bounded number of rows of one source, in parallel; at most two documents of a block stay undecided,
 and these meet in the next level's blocks, until one block a source is left. Its last documents are the
-landing problem: the document total is given up first, then the last document is drawn by its probability.
-Large documents go first, so that the landing is about small ones.
+landing problem: the two undecided ones and a dozen held back from the flight, of sizes from the largest to the
+smallest, are rounded together, of all ways the one whose word total is nearest (then whose document total is).
 
 The driver sees one row a source (their number is taken to be bounded, as targets are given by source).
 Randomness comes from a hash of source and block, so reruns agree.
@@ -32,6 +32,8 @@ from readloom.llm import common
 BLOCK = 4096
 #: Weights of the sources in code point order, repeating; null comes last.
 WEIGHTS = (3, 1, 2)
+#: Documents of a source that are held back for the landing; all their subsets are weighed.
+LANDING = 12
 #: Share of all words that the mix takes, and the most that it takes of a source.
 SHARE, MOST = 1.5, 2.0
 #: A word, for sizes.
@@ -76,21 +78,26 @@ def flight(size: np.ndarray, p: np.ndarray, draws: np.random.Generator, land: bo
             q[i] += by * d
         settle()
 
+    undecided = [i for i in range(len(q)) if 0.0 < q[i] < 1.0]
+    held = {undecided[i] for i in np.linspace(0, len(undecided) - 1, min(LANDING, len(undecided))).astype(int)} if land and undecided else set()
+    aim = sum(z[i] * q[i] for i in undecided), sum(q[i] for i in undecided)
     while True:
         while len(active) < 3 and (i := next(waiting, None)) is not None:
-            if 0.0 < q[i] < 1.0:
+            if 0.0 < q[i] < 1.0 and i not in held:
                 active.append(i)
         if len(active) < 3:
             break
         a, b, c = (z[i] for i in active)
         top = max(abs(b - c), abs(c - a), abs(a - b))
         move([(b - c) / top, (c - a) / top, (a - b) / top] if top else [1.0, -1.0, 0.0])
-    while land and active:
-        if len(active) == 2 and (top := max(z[i] for i in active)):
-            move([z[active[1]] / top, -z[active[0]] / top])
-            continue
-        i = active.pop()
-        q[i] = float(draws.random() < q[i])
+    if land and undecided:
+        last = [*active, *sorted(held)]
+        settled = [i for i in undecided if i not in last]
+        picks = np.arange(1 << len(last))[:, None] >> np.arange(len(last)) & 1
+        words = abs(picks @ np.array([z[i] for i in last]) + sum(z[i] * q[i] for i in settled) - aim[0])
+        documents = abs(picks.sum(1) + sum(q[i] for i in settled) - aim[1])
+        for i, x in zip(last, picks[np.lexsort((documents, np.round(words, 6)))[0]], strict=True):
+            q[i] = float(x)
     return np.array(q)
 
 
