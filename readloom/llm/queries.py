@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import licenses, mixing, packing, sharding, token_counts
+from readloom.llm import language_id, licenses, mixing, packing, sharding, token_counts
 from readloom.llm.common import read_table
 
 
@@ -17,6 +17,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_in = language_id.held_in(F.col("doc_id"))
+    chain = language_id.learn(docs, held_in)
+    found = language_id.identify(docs.select("doc_id", "text"), chain)
+    return found.select("doc_id", (~held_in).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -45,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_harmonic_packing, op4_sampled_splitters, op5_cube_mixing, op8_license_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_harmonic_packing, op4_sampled_splitters, op5_cube_mixing, op8_license_scan, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
