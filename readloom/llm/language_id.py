@@ -224,7 +224,7 @@ def learn(docs: DataFrame, rows: Column, text: str = "text", label: str = "lang"
     chance = None
     for r in counted:
         edge = min(1.0, 1.5 * (SAMPLE_DOCS + 20) / r["count"])
-        this = (F.col("label") == r["label"]) & (F.col("draw") <= int(-(1 << 63) + edge * ((1 << 64) - 1)))
+        this = (F.col("label") == r["label"]) & (F.col("draw") <= min((int(edge * (1 << 32)) << 32) - (1 << 63), (1 << 63) - 1))
         chance = this if chance is None else chance | this
     # of a very long text the fit sees no more than these letters
     drawn = sorted(labelled.where(chance).select("label", "draw", F.substring("text", 1, 16 * SAMPLE_WORDS).alias("text")).limit(2 * len(counted) * (SAMPLE_DOCS + 20)).collect(), key=lambda r: (r["label"], r["draw"], r["text"]))
