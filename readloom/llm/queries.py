@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import language_id, licenses, mixing, packing, sharding, token_counts
+from readloom.llm import language_id, licenses, mixing, near_duplicates, packing, sharding, token_counts
 from readloom.llm.common import read_table
 
 
@@ -40,6 +40,10 @@ def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licenses.license_scan(docs).select("doc_id", "license.*")
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_harmonic_packing, op4_sampled_splitters, op5_cube_mixing, op8_license_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_harmonic_packing, op4_sampled_splitters, op5_cube_mixing, op7_dart_minhash, op8_license_scan, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
