@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import language_id, licenses, mixing, near_duplicates, packing, sharding, token_counts
+from readloom.llm import language_id, licenses, mixing, near_duplicates, neighbours, packing, sharding, token_counts
 from readloom.llm.common import read_table
 
 
@@ -50,6 +50,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", F.size("expressions").alias("n_expressions"))
 
 
+def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.token_counts(docs, tokenizer_file("piece_bpe_32k.model"))
@@ -57,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_harmonic_packing, op4_sampled_splitters, op5_cube_mixing, op7_dart_minhash, op8_license_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_harmonic_packing, op4_sampled_splitters, op5_cube_mixing, op7_dart_minhash, op8_license_scan, op9_weighted_sampling, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
