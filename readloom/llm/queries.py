@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import language_id, licenses, mixing, near_duplicates, neighbours, packing, sharding, token_counts
+from readloom.llm import language_id, licenses, media, mixing, near_duplicates, neighbours, packing, sharding, token_counts
 from readloom.llm.common import read_table
 
 
@@ -40,6 +40,20 @@ def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.media_columns(read_table(spark, sf_dir, "documents"), keep=("n_bytes", "media", "payload", "feature"))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -61,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_harmonic_packing, op4_sampled_splitters, op5_cube_mixing, op7_dart_minhash, op8_license_scan, op9_weighted_sampling, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_harmonic_packing, op4_sampled_splitters, op5_cube_mixing, op6_progressive_jpeg, op7_dart_minhash, op8_license_scan, op9_weighted_sampling, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
