@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import language_id, licenses, media, mixing, near_duplicates, neighbours, packing, sharding, token_counts
+from readloom.llm import language_id, licenses, media, mixing, near_duplicates, neighbours, packing, sharding, substring_dedup, token_counts
 from readloom.llm.common import read_table
 
 
@@ -17,6 +17,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_in = language_id.held_in(F.col("doc_id"))
@@ -75,7 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_harmonic_packing, op4_sampled_splitters, op5_cube_mixing, op6_progressive_jpeg, op7_dart_minhash, op8_license_scan, op9_weighted_sampling, op10_token_counts)}
+    return {f.__name__: f for f in (op1_collinear_chaining, op2_language_id, op3_harmonic_packing, op4_sampled_splitters, op5_cube_mixing, op6_progressive_jpeg, op7_dart_minhash, op8_license_scan, op9_weighted_sampling, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
