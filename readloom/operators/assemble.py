@@ -100,14 +100,13 @@ def short_float(value: Column) -> Column:
     """A number as text with six significant digits, like the C format %g."""
     value = value.cast("double")
     scientific = F.format_string("%.5e", value)
-    exponent = F.regexp_extract(scientific, r"e([-+]\d+)$", 1).cast("int")
-    strip = lambda c: F.regexp_replace(c, r"\.?0+$", "")
-    fixed = F.format_string("%.5f", value)
-    for x in range(-4, 5):
-        fixed = F.when(exponent == x, F.format_string(f"%.{5 - x}f", value)).otherwise(fixed)
-    fixed = F.when(fixed.contains("."), strip(fixed)).otherwise(fixed)
-    mantissa = F.regexp_extract(scientific, r"^(.*)e", 1)
-    return F.when(value == 0, "0").when(exponent.between(-4, 5), fixed).otherwise(F.concat(strip(mantissa), F.lit("e"), F.regexp_extract(scientific, r"e(.*)$", 1)))
+    exponent = F.substring_index(scientific, "e", -1)
+    power = exponent.cast("int")
+    fixed = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(5 - power, F.lit(0)).cast("string"), F.lit("f")), value)
+    plain = power.between(-4, 5)
+    digits = F.regexp_replace(F.when(plain, fixed).otherwise(F.substring_index(scientific, "e", 1)), r"(\.\d*?)0+$", "$1")
+    digits = F.regexp_replace(digits, r"\.$", "")
+    return F.when(value == 0, "0").when(plain, digits).otherwise(F.concat(digits, F.lit("e"), exponent))
 
 
 def tag_text(tags: str = "tags", segment: Column | None = None, total: Column | None = None) -> Column:
