@@ -200,7 +200,8 @@ def _likelihood_kernel(df: DataFrame, decoder: Decoder, offset: int) -> DataFram
         got = score_batch(_letters(raw, width), _letters(quality, width).astype(np.int64) - offset, words, concentration, floor, high)
         return pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in kind], fields=list(kind))
 
-    scored = F.arrow_udf(kernel, "best int, conditional double, confidence double, distance int, high int")(F.col("_raw"), F.col("_raw_quality"))
+    # said to be nondeterministic, so that a filter on the result isn't pushed below it and makes it run twice
+    scored = F.arrow_udf(kernel, "best int, conditional double, confidence double, distance int, high int").asNondeterministic()(F.col("_raw"), F.col("_raw_quality"))
     df = df.withColumn("_scored", scored)
     return df.withColumns({f"_{f.name}": F.col(f"_scored.{f.name}") for f in kind}).drop("_scored")
 
@@ -266,7 +267,7 @@ def _near_kernel(decoder: Decoder, offset: int) -> Callable[..., Column]:
         return pa.StructArray.from_arrays([pa.array(index), pa.array(distance)], fields=list(kind))
 
     def call(*columns: Column) -> Column:
-        return F.arrow_udf(kernel, "index int, distance int")(*columns)
+        return F.arrow_udf(kernel, "index int, distance int").asNondeterministic()(*columns)
 
     kernel.__annotations__ = {"columns": pa.Array, "return": pa.Array}
     return call

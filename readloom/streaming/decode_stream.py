@@ -36,7 +36,7 @@ def class_counts(decoded: DataFrame, decoder: Decoder) -> DataFrame:
 
 def windowed_counts(decoded: DataFrame, decoder: Decoder, time: str, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """Counts of classes per window of event time. Reads later than the watermark are left out."""
-    timed = decoded.withWatermark(time, late)
+    timed = decoded.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     return timed.groupBy(F.window(time, window), F.col(f"{decoder.column}.barcode_index").alias("barcode_index")).agg(F.count("*").alias("count"), F.count_if(~F.col("qcfail")).alias("pf_count"))
 
 
