@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import language_id, mixing, near_duplicates, packing, queries, substring_dedup
+from readloom.llm.common import free_name
 
 #: Documents without a letter go, and those of which no language holds this share of the words.
 LEAST_SHARE = 0.3
@@ -21,8 +22,9 @@ LEAST_SHARE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that have a language; null texts and texts without a letter go."""
     chain = language_id.learn(docs, language_id.held_in(docs["doc_id"]))
-    found = language_id.identify(docs, chain, into="__language")
-    kept = (found["__language"]["lang"] != language_id.UNDETERMINED) & (found["__language"]["score"] >= LEAST_SHARE)
+    name = free_name(docs, "language")
+    found = language_id.identify(docs, chain, into=name)
+    kept = (found[name]["lang"] != language_id.UNDETERMINED) & (found[name]["score"] >= LEAST_SHARE)
     # without labelled rows nothing is known, and nothing is rejected but texts without a letter
     kept = kept if chain is not None else docs["text"].rlike(r"\p{L}")
     return found.where(kept).select(*docs.columns)
@@ -41,17 +43,16 @@ def repeated_passage_removal(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix says: never, once or twice."""
-    found = mixing.mix(docs)
-    # decisions meet their rows by doc_id and a hash of the text; equal rows are told apart by nothing and share their copies
-    taken = found.groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("copies").alias("__copies"), F.col("rows").alias("__rows"))
-    keyed = docs.withColumn("__key", F.xxhash64(docs["doc_id"], docs["text"].cast("string")))
-    joined = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken["__id"]) & (keyed["__key"] == taken["__tie"]))
-    single = joined.where("__rows = 1").withColumn("__n", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1))))).where("__n <= __copies")
-    # of n equal rows, one stands for all
-    several = joined.where("__rows > 1").dropDuplicates(["__key", "doc_id"])
-    several = several.where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return single.unionByName(several).select(*docs.columns)
+    # decisions meet their rows by doc_id and a hash of the text; of equal rows, one is written as often as all are taken
+    taken = mixing.mix(docs).groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    key, i, tie, copies, rows, n = (free_name(docs, f"mix_{c}") for c in ("key", "id", "tie", "copies", "rows", "n"))
+    taken = taken.select(F.col("doc_id").alias(i), F.col("tie").alias(tie), F.col("copies").alias(copies), F.col("rows").alias(rows))
+    keyed = docs.withColumn(key, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    joined = keyed.join(taken.where(F.col(copies) > 0), keyed["doc_id"].eqNullSafe(taken[i]) & (keyed[key] == taken[tie]))
+    single = joined.where(F.col(rows) == 1)
+    several = joined.where(F.col(rows) > 1).dropDuplicates([key, "doc_id"])
+    repeated = single.unionByName(several).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return repeated.select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         docs[doc_id].cast("long").alias("doc_id"),
         docs[source].cast("string").alias("source"),
         F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(docs[doc_id], body).alias("tie"),
+        F.xxhash64(docs[doc_id].cast("long"), body).alias("tie"),
     )
     sized = common.steady(sized)
     totals = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
