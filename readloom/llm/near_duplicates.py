@@ -10,10 +10,11 @@ documents' weighted Jaccard similarity.
 
 Five coordinates make a band, 26 bands a document: a pair of similarity 0.8 meets with a chance above 0.9999.
 Documents of equal shingle sets are one node from the start. A node is linked to the smallest node of each of
-its bands, candidates are checked exactly over whole texts, and links are closed to components. Bands whose
-nodes are then still of several components give the pairs between the components to the check as well, so that
-no pair that shares a band goes unexamined unless it is of one component already; pairs within a group of
-copies are never written out.
+its bands, candidates are checked exactly over whole texts, and links are closed to components. In bands whose
+nodes are then still of several components, counts of the shingles that occur outside a node's component, in groups
+by their hash, bound from above how similar two nodes can be; pairs between components within the bound go to the
+check as well. So no pair that shares a band goes unexamined unless it is of one component already or provably below the
+similarity, and pairs within a group of copies are never written out.
 
 Defined results: a null text or null doc_id is compared with nothing (class_id is doc_id); texts without a
 word are of a class with equal texts only; rows with one doc_id are one document; other columns are not read.
@@ -31,10 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import common
+from readloom.llm.common import steady
 from readloom.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
+#: Parts into which a node's shingles are dealt to bound what it can share with another.
+GROUPS = 32
 #: Width of the first band of ranks; the following double.
 FIRST_RANK = 1 / 64
 _UNIT = float(1 << 32)
@@ -167,37 +171,76 @@ def _checker(shingle: int, similarity: float, counted: bool):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, counted: bool) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough: (a, b, similarity). texts: (doc_id, text), one row a doc_id that occurs in pairs."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = common.steady(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    other = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """The pairs (a, b) whose texts are similar enough: (a, b, similarity). texts: (doc_id, text), one row a doc_id."""
+    one, other = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_checker(shingle, similarity, counted), "a long, b long, similarity double")
 
 
+def _mixed(held: DataFrame) -> DataFrame:
+    """The rows of bands that hold nodes of several components."""
+    keys = steady(held.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key"))
+    return held.join(keys, "key", "left_semi")
+
+
+def _sizer(shingle: int, counted: bool):
+    def run(batches):
+        for batch in common.slices(batches, "text"):
+            value, owner, count = common.unique_grams(*common.Words(common.Texts(batch.column(1))).grams(shingle, short=True)[::2])
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.record_batch([pa.array(nodes[owner], pa.int64()), pa.array(value.view(np.int64)), pa.array(count if counted else np.ones(len(count), np.int64), pa.int64())], ["node", "shingle", "weight"])
+
+    return run
+
+
+def _shareable(texts: DataFrame, classes: DataFrame, shingle: int, counted: bool) -> DataFrame:
+    """Of each node (node, text): n, the weight of its shingles, and that of those which a node of another class has as well, dealt to GROUPS parts s0, s1, ... by their hash. classes: (node, class)."""
+    grams = steady(texts.select("node", "text").mapInArrow(_sizer(shingle, counted), "node long, shingle long, weight long").join(classes, "node"))
+    single = steady(grams.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle"))
+    part = F.pmod("shingle", F.lit(GROUPS))
+    shared = grams.join(single, "shingle").groupBy("node").agg(*[F.sum(F.when(part == i, F.col("weight")).otherwise(0)).cast("int").alias(f"s{i}") for i in range(GROUPS)])
+    return grams.groupBy("node").agg(F.sum("weight").alias("n")).join(shared, "node", "left").fillna(0)
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its group) and rows (how often the document occurs). counted: weigh shingles by how often they occur; else each weighs one."""
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     usable = narrow.where("doc_id is not null and text is not null")
-    sketches = common.steady(usable.mapInArrow(_sketcher(shingle, bands, rows, counted), _SKETCH))
+    sketches = steady(usable.mapInArrow(_sketcher(shingle, bands, rows, counted), _SKETCH))
     # equal shingle sets: one node, named by the smallest doc_id
-    nodes = sketches.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    member = common.steady(sketches.groupBy("doc_id", "d1", "d2", "bands").agg(F.count("*").alias("rows")).join(nodes, ["d1", "d2"]))
-    banded = common.steady(member.where("doc_id = node").select("node", F.explode("bands").alias("key")))
-    met = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader != last").select("key", "leader")
-    met = common.steady(banded.join(met, "key"))
-    stars = common.steady(met.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links = common.steady(verified(stars, usable, shingle, similarity, counted).select("a", "b"))
+    nodes = steady(sketches.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
+    member = steady(sketches.groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("rows")))
+    member = steady(member.join(nodes, ["d1", "d2"]))
+    first = sketches.select("d1", "d2", "bands", F.col("doc_id").alias("node")).join(nodes, ["d1", "d2", "node"], "left_semi")
+    banded = steady(first.select("node", F.explode("bands").alias("key")))
+    met = steady(banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader != last").select("key", "leader"))
+    met = steady(banded.join(met, "key"))
+    stars = steady(met.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    # the texts of all candidates, fetched once
+    ids = met.select(F.col("node").alias("doc_id")).distinct()
+    texts = usable.join(ids, "doc_id", "left_semi")
+    if not member.where("rows > 1").isEmpty() or not member.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["doc_id"])
+    texts = steady(texts)
+    links = steady(verified(stars, texts, shingle, similarity, counted).select("a", "b"))
     joined = components(links)
-    label = F.coalesce("class", "node")
     # bands with nodes of several components: the pairs between components, but for those checked already
-    held = met.join(joined, "node", "left").select("key", "node", label.alias("class"))
-    mixed = held.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key")
-    held = common.steady(held.join(mixed, "key"))
-    other = held.select("key", F.col("node").alias("b"), F.col("class").alias("other"))
-    rest = held.withColumnRenamed("node", "a").join(other, "key").where("class != other and a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = common.steady(verified(common.steady(rest), usable, shingle, similarity, counted).select("a", "b"))
+    held = steady(met.join(joined, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
+    held = steady(_mixed(held))
+    open_texts = steady(texts.withColumnRenamed("doc_id", "node").join(held.select("node").distinct(), "node", "left_semi"))
+    shared = steady(_shareable(open_texts, held.select("node", "class").distinct(), shingle, counted))
+    held = steady(held.join(shared, "node"))
+    # what two nodes of different components share is at most the smaller part of each group; most nodes have no partner within the bound
+    parts = [f"s{i}" for i in range(GROUPS)]
+    all_shared = sum((F.col(c) for c in parts), F.lit(0))
+    least = steady(held.groupBy("key").agg(F.min("n").alias("smallest")))
+    most = all_shared >= F.lit(similarity) * (F.col("n") + F.greatest(F.col("smallest"), all_shared) - all_shared)
+    held = steady(_mixed(held.join(least, "key").where(most).select("key", "node", "class", "n", *parts)))
+    other = held.select("key", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in parts])
+    together = sum((F.least(F.col(c), F.col(f"{c}_b")) for c in parts), F.lit(0))
+    between = held.withColumnRenamed("node", "a").join(other, "key").where((F.col("class") != F.col("class_b")) & (F.col("a") < F.col("b")) & (together >= F.lit(similarity) * (F.col("n") + F.col("n_b") - together)))
+    rest = steady(between.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
+    more = steady(verified(rest, texts, shingle, similarity, counted).select("a", "b"))
     # documents with one doc_id and different texts hang together
     same = member.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     joined = components(links.unionByName(more).unionByName(same))
