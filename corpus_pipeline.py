@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import language_id, mixing, near_duplicates, packing, queries, substring_dedup
-from readloom.llm.common import free_name
+from readloom.llm.common import free_name, small_batches
 
 #: Documents without a letter go, and those of which no language holds this share of the words.
 LEAST_SHARE = 0.3
@@ -21,6 +21,7 @@ LEAST_SHARE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that have a language; null texts and texts without a letter go."""
+    small_batches(spark)
     chain = language_id.learn(docs, language_id.held_in(docs["doc_id"]))
     name = free_name(docs, "language")
     found = language_id.identify(docs, chain, into=name)
@@ -32,17 +33,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest doc_id of each class of near duplicates."""
+    small_batches(spark)
     found = near_duplicates.classes(docs)
     return near_duplicates.one_of_each(docs, found).select(*docs.columns)
 
 
 def repeated_passage_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take passages that a document of a smaller doc_id has as well out of the texts; n_chars follows."""
+    small_batches(spark)
     return substring_dedup.cut_passages(docs, substring_dedup.repeated_passages(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix says: never, once or twice."""
+    small_batches(spark)
     # decisions meet their rows by doc_id and a hash of the text; of equal rows, one is written as often as all are taken
     taken = mixing.mix(docs).groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     key, i, tie, copies, rows, n = (free_name(docs, f"mix_{c}") for c in ("key", "id", "tie", "copies", "rows", "n"))
@@ -57,6 +61,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences with their ids as digest."""
+    small_batches(spark)
     pieces = packing.pack(docs, queries.tokenizer_file("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
