@@ -56,8 +56,8 @@ def main() -> None:
 
     def full() -> None:
         decoded = decode.decode_all(stored, syn.decoders(), syn.source())
-        records = assemble.records(assemble.assemble(decoded, Transform.parse({"token": ["0:16:", "2::"]}), syn.decoders(), syn.source(), ["read_index", "name"]))
-        records.select(assemble.sam_text(records)).write.format("noop").mode("overwrite").save()
+        made = assemble.assemble(decoded, Transform.parse({"token": ["0:16:", "2::"]}), syn.decoders(), syn.source(), ["name"])
+        assemble.sam_lines(made, 2).select("line").write.format("noop").mode("overwrite").save()
 
     def estimate() -> None:
         d = [syn.sample_decoder()]

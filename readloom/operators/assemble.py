@@ -129,6 +129,18 @@ def sam_text(records: DataFrame) -> Column:
     return F.when(annotations == "", fixed).otherwise(F.concat(fixed, F.lit("\t"), annotations))
 
 
+def sam_lines(assembled: DataFrame, n: int) -> DataFrame:
+    """SAM lines of assembled reads of n output segments: the other columns, segment and line. Annotations that all segments share are written once a read."""
+    others = [c for c in assembled.columns if c not in ("segments", "tags")]
+    shared = [assembled[c] for c in others]
+    texts = [tag_text("tags", F.lit(i + 1), F.lit(n)) for i in range(n if n > 2 else 1)]
+    read = assembled.select(*shared, F.col("name").alias("_name"), F.array(*texts).alias("_tags"), "segments").select(*others, "_name", "_tags", F.explode("segments").alias("_s"))
+    annotations = F.element_at("_tags", F.col("_s.segment") if n > 2 else F.lit(1))
+    star = lambda c: F.when(F.col(f"_s.{c}") == "", "*").otherwise(F.col(f"_s.{c}"))
+    fixed = F.concat(F.col("_name"), F.lit("\t"), F.col("_s.flag").cast("string"), F.lit("\t*\t0\t0\t*\t*\t0\t0\t"), star("seq"), F.lit("\t"), star("qual"))
+    return read.select(*others, "_s.segment", F.when(annotations == "", fixed).otherwise(F.concat(fixed, F.lit("\t"), annotations)).alias("line"))
+
+
 def fastq_text(platform: str = "ILLUMINA", from_offset: int = sequences.PHRED_OFFSET, to_offset: int = sequences.PHRED_OFFSET) -> Column:
     """A FASTQ record of name, segment, flag, seq, qual and tags columns, without its last line end. The comment of platforms that have one is segment:Y or N:0:barcode."""
     failed = F.when(F.col("flag").bitwiseAND(QCFAIL) > 0, "Y").otherwise("N")

@@ -160,8 +160,16 @@ def _likelihood_unrolled(df: DataFrame, decoder: Decoder, offset: int) -> DataFr
 
 def _letters(column: pa.Array, width: int) -> np.ndarray:
     """(n, width) code points of ASCII strings, 0 beyond their end."""
-    values = column.fill_null("").to_numpy(zero_copy_only=False).astype(f"S{max(1, width)}")
-    return values.view(np.uint8).reshape(len(values), max(1, width))[:, :width]
+    column = column.fill_null("")
+    n = len(column)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    body = column.buffers()[2]
+    data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(1, np.uint8)
+    length = np.diff(ends)
+    if n and (length == width).all():
+        return data[ends[0] : ends[-1]].reshape(n, width)
+    place = ends[:-1, None] + np.arange(width)
+    return np.where(np.arange(width) < length[:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
 
 
 def score_batch(raw: np.ndarray, quality: np.ndarray, words: np.ndarray, concentration: np.ndarray, noise_floor: float, high: int) -> dict[str, np.ndarray]:

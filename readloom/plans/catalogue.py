@@ -391,8 +391,8 @@ def sam_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT read_index, 2, concat(name, chr(9), CASE WHEN failed2 THEN '653' ELSE '141' END, chr(9), '*', chr(9), '0', chr(9), '0', chr(9), '*', chr(9), '*', chr(9), '0', chr(9), '0', chr(9), s2_seq, chr(9), s2_qual, chr(9), tags) FROM tagged"""
 )
 def sam_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _records(spark, sf_dir)
-    return records.select("read_index", "segment", assemble.sam_text(records).alias("line"))
+    made = assemble.assemble(_chain(spark, sf_dir), Transform.parse(_OUT), syn.decoders(), syn.source(), ["read_index", "name"])
+    return assemble.sam_lines(made, 2).select("read_index", "segment", "line")
 
 
 @query(
