@@ -84,6 +84,7 @@ def main(arguments: list[str] | None = None) -> int:
         if options.compile:
             print(json.dumps(compiled_document(plan), indent=4))
             return 0
+        compiler.check_access(plan)
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.master(f"local[{options.threads or '*'}]").appName("readloom").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()

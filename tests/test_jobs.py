@@ -155,6 +155,12 @@ def test_command_line(lane, capsys, tmp_path):
     assert cli.main(["mux", "-c", str(tmp_path / "none.json")]) == 1
 
 
+def test_access(lane):
+    compiler.check_access(compiler.compile_job(job(**{"base input url": str(lane), "base output url": str(lane / "new/folder"), "output": ["x.sam"]})))
+    with pytest.raises(PlanError):
+        compiler.check_access(compiler.compile_job(job(**{"base input url": "/nowhere"})))
+
+
 def test_output_names():
     named = tools.name_outputs(job(), True, True, 2, "fastq", "gz", "p")
     assert named["sample"]["codec"][f"@{syn.WORDS[0]}"]["output"] == ["p_lib_s01.fastq.gz", "p_lib_s02.fastq.gz"]
