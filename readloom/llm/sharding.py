@@ -31,7 +31,7 @@ SAMPLES = 48
 #: A range is overfull beyond so many times its share.
 OVERFULL = 2.0
 #: Rounds of subdivision; a round cuts each overfull range into as many parts as it holds shares.
-ROUNDS = 4
+ROUNDS = 6
 
 
 def _with_ranges(keyed: DataFrame, splitters: list[tuple[int, int, int]]) -> DataFrame:
@@ -74,8 +74,18 @@ def _sample(ranged: DataFrame, shares: dict[int, float], total: float) -> dict[i
     return {k: sorted(v) for k, v in got.items()}
 
 
+#: Below every doc_id and row hash: where the records of a text begin.
+_LOWEST = -(1 << 63)
+
+
 def _quantiles(sample: list[tuple[int, int, int]], parts: int) -> list[tuple[int, int, int]]:
-    return [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
+    """Boundaries at quantiles of the sample, moved to where a text begins; within a text only if the sample holds no other."""
+    if not sample:
+        return []
+    cuts = [sample[len(sample) * i // parts] for i in range(1, parts)]
+    if sample[0][0] != sample[-1][0]:
+        cuts = [(k, _LOWEST, _LOWEST) for k, _, _ in cuts if k != sample[0][0]] or [(sample[-1][0], _LOWEST, _LOWEST)]
+    return cuts
 
 
 def shards(docs: DataFrame, n: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
