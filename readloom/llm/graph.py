@@ -1,4 +1,6 @@
-"""Connected components of links by alternating large-star and small-star steps, all in joins and pre-aggregated groups."""
+"""Connected components of links by alternating large-star and small-star steps, all in joins and pre-aggregated groups.
+
+Both sides of each join are at rest before it, so that a node with very many neighbours can be split at run time."""
 
 from __future__ import annotations
 
@@ -21,9 +23,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: neighbours above u go to u's smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = steady(both.join(steady(_least(both)), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         # small star: u and its neighbours below go to the smallest of them
-        least = _least(large)
+        least = steady(_least(large))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = steady(small.where("u != v").distinct())
         state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())

@@ -234,21 +234,22 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     parts = [f"s{i}" for i in range(GROUPS)]
     all_shared = sum((F.col(c) for c in parts), F.lit(0))
     least = steady(held.groupBy("key").agg(F.min("n").alias("smallest")))
-    most = all_shared >= F.lit(similarity) * (F.col("n") + F.greatest(F.col("smallest"), all_shared) - all_shared)
+    most = all_shared >= F.lit(similarity - 1e-9) * (F.col("n") + F.greatest(F.col("smallest"), all_shared) - all_shared)
     held = steady(_mixed(held.join(least, "key").where(most).select("key", "node", "class", "n", *parts)))
     other = held.select("key", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in parts])
     together = sum((F.least(F.col(c), F.col(f"{c}_b")) for c in parts), F.lit(0))
-    between = held.withColumnRenamed("node", "a").join(other, "key").where((F.col("class") != F.col("class_b")) & (F.col("a") < F.col("b")) & (together >= F.lit(similarity) * (F.col("n") + F.col("n_b") - together)))
+    between = held.withColumnRenamed("node", "a").join(other, "key").where((F.col("class") != F.col("class_b")) & (F.col("a") < F.col("b")) & (together >= F.lit(similarity - 1e-9) * (F.col("n") + F.col("n_b") - together)))
     rest = steady(between.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
     more = steady(verified(rest, texts, shingle, similarity, counted).select("a", "b"))
-    # documents with one doc_id and different texts hang together
-    same = member.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    joined = components(links.unionByName(more).unionByName(same))
-    documents = member.groupBy("doc_id").agg(F.sum("rows").alias("rows"))
-    out = documents.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # a doc_id with different texts is one document, and holds their classes together
+    several = steady(member.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.min("node").alias("first")).where("nodes > 1").select("doc_id", "first"))
+    same = member.join(several, "doc_id").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    joined = steady(components(links.unionByName(more).unionByName(same)))
+    documents = member.join(joined, "node", "left").select("doc_id", "rows", F.coalesce("class", "node").alias("class_id"))
+    documents = documents.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("rows").alias("rows"))
     alone = narrow.where("doc_id is null or text is null").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    alone = alone.join(documents.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), "rows")
-    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), "rows").unionByName(alone)
+    alone = alone.join(member.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), "rows")
+    return documents.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
