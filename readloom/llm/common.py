@@ -8,6 +8,8 @@ Hashes ignore the case of A-Z and of the accented capitals U+00C0..U+00DE.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from collections.abc import Iterable, Iterator
 
@@ -51,9 +53,24 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers are used again for other stages, and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(batches: Iterable) -> Iterator:
+    """The batches, and when they end, freed memory given back."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each piece holds at most `most` bytes in the column, or one row."""
-    for batch in batches:
+    """Cut batches so that each piece holds at most `most` bytes in the column, or one row; freed memory is given back at the end."""
+    for batch in tidy(batches):
         sizes = np.cumsum(lengths(batch.column(batch.schema.get_field_index(column))))
         at = 0
         while at < batch.num_rows:

@@ -33,7 +33,7 @@ from readloom.llm import common
 #: The bound of the sample: rows a language, words of a row (evenly spaced windows of a longer text), languages.
 SAMPLE_DOCS, SAMPLE_WORDS, LABELS = 120, 1200, 200
 #: Buckets of hashed features, letters of a word that features see (its first and last halves), and words remembered.
-BUCKETS, LETTERS, REMEMBERED = 1 << 15, 24, 200_000
+BUCKETS, LETTERS, REMEMBERED = 1 << 15, 24, 100_000
 #: Words of a training chain and of an inference block.
 CHAIN, BLOCK = 64, 32
 UNDETERMINED = "und"
@@ -255,7 +255,7 @@ def _predictor(broadcast, with_words: bool) -> Callable[[Iterator[pa.Array]], It
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         chain: Chain | None = broadcast.value
-        for column in columns:
+        for column in common.tidy(columns):
             results: list[dict] = []
             for piece in common.slices([pa.record_batch([column], ["text"])], "text"):
                 results += predict(chain, piece.column(0).to_pylist(), with_words)

@@ -31,7 +31,7 @@ MARK = "▁"
 #: Below the lowest score of the vocabulary; fixed by the tokenizer.
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by a worker before it starts afresh (a few dozen MB).
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 class Unigram:
@@ -118,7 +118,7 @@ def _counter(path: str, byte_fallback: bool) -> Callable[[Iterator[pa.Array]], I
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load(path, byte_fallback)
-        for column in columns:
+        for column in common.tidy(columns):
             found = [None if t is None else model.count(t) for t in column.to_pylist()]
             yield pa.array([None if x is None else {"n_tokens": x[0], "score": x[1]} for x in found], kind)
 
