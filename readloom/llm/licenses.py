@@ -7,7 +7,8 @@ is read from the text as it stands, put into postfix order by precedence (with,
 is permitted where a side is, an `and` where both are, and a `with` follows its licence.
 
 Defined results: null and empty texts have no word and no label; places may overlap and each counts; a
-malformed expression (operators without operands, open parentheses) gives its identifiers but is not permitted.
+malformed expression (operators without operands, open parentheses) gives its identifiers but is not permitted. An
+expression ends at its line unless a parenthesis or an operator is open there.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ NOTICE_PHRASES = {
 #: Words of an identifier tag, and the pattern of the tag with its expression in the text.
 TAG = "spdx license identifier"
 _TAG_TEXT = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)")
+_NEXT_LINE = re.compile(rb"(?:\r\n|\r|\n)([^\r\n]*)")
 _TOKEN = re.compile(rb"\(|\)|[0-9a-z.+:-]+")
 #: Binding strength of the operators of an expression.
 PRECEDENCE = {"with": 3, "and": 2, "or": 1}
@@ -92,12 +94,58 @@ def postfix(expression: str) -> list[str] | None:
     return output + stack[::-1]
 
 
+def _unfinished(expression: str) -> bool:
+    """Whether a parenthesis or an operator is open at the end of an expression, so that it goes on."""
+    depth, operand_next = 0, True
+    for token in (t.decode() for t in _TOKEN.findall(expression.lower().encode())):
+        if token in PRECEDENCE:
+            if operand_next:
+                return False
+            operand_next = True
+        elif token == "(":
+            if not operand_next:
+                return False
+            depth += 1
+        elif token == ")":
+            depth -= 1
+            if operand_next or depth < 0:
+                return False
+        elif not operand_next:
+            return False  # prose behind the expression
+        else:
+            operand_next = False
+    return depth > 0 or operand_next
+
+
+def _expression(raw: bytes, begin: int, end: int) -> bytes:
+    """The expression behind a tag: its line, and those that follow (without their comment signs) while a parenthesis or an operator is open."""
+    out = raw[begin:end]
+    while out.strip() and (line := _NEXT_LINE.match(raw, end)) and line[1].strip() and not _TAG_TEXT.search(line[1]) and _unfinished(out.decode("latin-1")):
+        out += b"\n" + line[1].lstrip(b" \t-#*/;%")
+        end = line.end()
+    return out
+
+
+def _operands(expression: str) -> list[str]:
+    """Identifiers of a malformed expression, up to prose behind it."""
+    out: list[str] = []
+    behind = False
+    for token in (t.decode() for t in _TOKEN.findall(expression.encode())):
+        if token in PRECEDENCE or token in ("(", ")"):
+            behind = behind and token == ")"
+        elif behind:
+            break
+        else:
+            out.append(token)
+            behind = True
+    return out
+
+
 def evaluate(expression: str, permitted: frozenset[str] = PERMITTED) -> tuple[list[str], bool]:
     """Identifiers of an expression in order of appearance, and whether it can be met with permitted licences."""
     line = postfix(expression.lower())
     if line is None:
-        found = [t.decode() for t in _TOKEN.findall(expression.lower().encode())]
-        return [t for t in found if t not in PRECEDENCE and t not in ("(", ")")][:1], False
+        return _operands(expression.lower()), False
     stack: list[bool] = []
     names: list[str] = []
     for token in line:
@@ -157,8 +205,9 @@ def scan(text: str | None, base: dict[str, str] = BASE_PHRASES, permitted: froze
         noted.add(phrase)
     if TAG in noted:
         for m in _TAG_TEXT.finditer(raw.lower()):
-            names, allowed = evaluate(m[1].decode("latin-1"), permitted)
-            expressions.append({"expression": m[1].decode("utf-8", "replace").strip(), "identifiers": names, "permitted": allowed})
+            expression = _expression(m.string, *m.span(1))
+            names, allowed = evaluate(expression.decode("latin-1"), permitted)
+            expressions.append({"expression": expression.decode("utf-8", "replace").strip(), "identifiers": names, "permitted": allowed})
             labels.update(f"spdx:{n}" for n in names)
             labels.add("spdx-permitted" if allowed else "spdx-restricted")
             doubt *= 0.01

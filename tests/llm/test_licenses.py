@@ -56,3 +56,14 @@ def test_operator(frame, awkward):
     assert licenses.license_scan(frame([])).count() == 0
     r = licenses.license_scan(frame([(1, "All rights reserved. All rights reserved.")])).first()["license_"]
     assert (r["n_base"], r["first_word"], r["last_word"], r["labels"]) == (2, 0, 3, ["reserved"])
+
+
+def test_expressions_over_lines_and_malformed_ones():
+    (found,) = licenses.scan("# SPDX-License-Identifier: (MIT OR\n# Apache-2.0)\n# some prose")["expressions"]
+    assert found["identifiers"] == ["mit", "apache-2.0"] and found["permitted"]
+    got = licenses.scan("SPDX-License-Identifier: GPL-2.0-only OR\r\nMIT\r\nprose")
+    assert {"spdx:gpl-2.0-only", "spdx:mit", "spdx-permitted"} <= set(got["labels"])
+    (found,) = licenses.scan("SPDX-License-Identifier: MIT\nor so")["expressions"]
+    assert found["expression"] == "mit" and found["identifiers"] == ["mit"]
+    assert licenses.evaluate("(MIT OR Apache-2.0 AND ISC") == (["mit", "apache-2.0", "isc"], False)
+    assert licenses.evaluate("(MIT OR Apache-2.0 and some prose behind") == (["mit", "apache-2.0", "some"], False)
