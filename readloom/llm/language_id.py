@@ -133,17 +133,28 @@ class Chain:
         return out / out.sum(1, keepdims=True)
 
 
+def sample(text: str) -> list[str]:
+    """The words of a text that the fit sees: all, or those of evenly spaced windows of a longer text."""
+    words = [w for w in _WORD.findall(text.lower()) if any(c.isalpha() for c in w)]
+    if len(words) > SAMPLE_WORDS:
+        starts = np.linspace(0, len(words) - CHAIN, SAMPLE_WORDS // CHAIN).astype(int)
+        words = [w for s in starts for w in words[s : s + CHAIN]]
+    return words
+
+
+def _sampled(texts: pa.Array) -> pa.Array:
+    """The sample of each text as text, very long words without their middle (features do not see it)."""
+    most = 8 * LETTERS
+    return pa.array([" ".join(w if len(w) <= 2 * most else w[:most] + w[-most:] for w in sample(t.as_py())) for t in texts], pa.string())
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 5) -> Chain | None:
     """Fit a chain to (text, label) rows by gradient ascent on the conditional likelihood."""
     rng = np.random.default_rng(seed)
     labels = sorted({label for _, label in rows})
     by_label: dict[int, list[str]] = {k: [] for k in range(len(labels))}
     for text, label in rows:
-        words = [w for w in _WORD.findall(text.lower()) if any(c.isalpha() for c in w)]
-        if len(words) > SAMPLE_WORDS:
-            starts = np.linspace(0, len(words) - CHAIN, SAMPLE_WORDS // CHAIN).astype(int)
-            words = [w for s in starts for w in words[s : s + CHAIN]]
-        by_label[labels.index(label)] += words
+        by_label[labels.index(label)] += sample(text)
     labels_with = [k for k, v in by_label.items() if v]
     if not labels_with:
         return None
@@ -226,8 +237,8 @@ def learn(docs: DataFrame, rows: Column, text: str = "text", label: str = "lang"
         edge = min(1.0, 1.5 * (SAMPLE_DOCS + 20) / r["count"])
         this = (F.col("label") == r["label"]) & (F.col("draw") <= min((int(edge * (1 << 32)) << 32) - (1 << 63), (1 << 63) - 1))
         chance = this if chance is None else chance | this
-    # of a very long text the fit sees no more than these letters
-    drawn = sorted(labelled.where(chance).select("label", "draw", F.substring("text", 1, 16 * SAMPLE_WORDS).alias("text")).limit(2 * len(counted) * (SAMPLE_DOCS + 20)).collect(), key=lambda r: (r["label"], r["draw"], r["text"]))
+    # windows of a long text are taken where it lies
+    drawn = sorted(labelled.where(chance).select("label", "draw", F.arrow_udf(_sampled, "string")("text").alias("text")).limit(2 * len(counted) * (SAMPLE_DOCS + 20)).collect(), key=lambda r: (r["label"], r["draw"], r["text"]))
     taken: dict[str, list[str]] = {}
     for r in drawn:
         if len(rows_of := taken.setdefault(r["label"], [])) < SAMPLE_DOCS:

@@ -85,3 +85,9 @@ def test_prediction_reads_nothing_else(frame):
     one = [r["language_"] for r in li.identify(frame(rows), fitted).orderBy("doc_id").collect()]
     two = [r["language_"] for r in li.identify(frame(hidden), fitted).orderBy("doc_id").collect()]
     assert one == two
+
+
+def test_windows_reach_the_end_of_a_long_text(frame):
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, 6000) + " " + " ".join(["finale"] * 400), "en") for i in range(4)] + [(i + 10, sentence(rng, 50, "fr"), "fr") for i in range(4)]
+    assert "finale" in li.learn(frame(rows), F.lit(True)).lexicon
