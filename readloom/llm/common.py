@@ -2,7 +2,8 @@
 
 Texts arrive as Arrow batches and are worked on as one byte buffer with offsets, so that word
 boundaries, word hashes and shingle hashes cost a few numpy passes a byte and no Python call a word.
-A *word* here is a run of bytes that are ASCII letters, ASCII digits or part of a non-ASCII code point.
+A *word* here is a run of bytes that are ASCII letters, ASCII digits or part of a non-ASCII code point; a code
+point of a script that is written without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a word of its own.
 Hashes ignore the case of A-Z and of the accented capitals U+00C0..U+00DE.
 """
 
@@ -35,16 +36,62 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the session names, else (on one machine only) a new one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def steady(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
+    """Cut lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """The checkpoints of one call of an operator, deleted once its result is at rest."""
+
+    def __init__(self) -> None:
+        self.files: list[tuple[SparkSession, str]] = []
+
+    def steady(self, df: DataFrame) -> DataFrame:
+        out = steady(df)
+        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            self.files.append((df.sparkSession, file.get()))
+        return out
+
+    def settled(self, df: DataFrame) -> DataFrame:
+        """steady(), and the exchanges behind it are let go of: Spark deletes them once the driver's collector has met them."""
+        out = self.steady(df)
+        df.sparkSession.sparkContext._jvm.System.gc()
+        return out
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df at rest in a checkpoint of its own; the others go."""
+        out = steady(df)
+        for spark, file in self.files:
+            delete(spark, file)
+        self.files.clear()
+        return out
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -115,6 +162,20 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     return letters, np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint64)
 
 
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and byte lengths of the code points that are words of their own."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return lead, lead
+    a, b = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
+    alone = (a >= 0xE3) & (a <= 0xE9)  # kana and Han
+    alone |= (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)  # Thai, Lao
+    alone |= (a == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b >= 0x9E) & (b <= 0x9F))  # Burmese, Khmer
+    alone |= (a == 0xEF) & ((b >= 0xA4) & (b <= 0xAB) | (b >= 0xBC) & (b <= 0xBE))  # compatibility and full-width forms
+    alone |= (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)  # rare Han
+    return lead[alone], np.where(a[alone] == 0xF0, 4, 3)
+
+
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -160,6 +221,12 @@ class Words:
         first[bounds] |= inside[bounds]
         ends = offsets[1:][offsets[1:] > 0] - 1
         last[ends] |= inside[ends]
+        at, size = _characters(data)
+        if len(at):
+            first[at] = last[at + size - 1] = True
+            before, behind = at[at > 0] - 1, (at + size)[at + size < n]
+            last[before] |= inside[before]
+            first[behind] |= inside[behind]
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.counts = np.searchsorted(self.start, offsets[1:]) - np.searchsorted(self.start, offsets[:-1])

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import steady
+from readloom.llm import common
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -15,8 +15,9 @@ def _least(both: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, class) of every node that has a link; class is the smallest node of its component. links: two long columns, any order, repeats allowed."""
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: common.Scratch | None = None) -> DataFrame:
+    """(node, class) of every node that has a link; class is the smallest node of its component. links: two long columns, any order, repeats allowed. scratch: takes the checkpoints on, to delete them."""
+    steady = (scratch or common.Scratch()).steady
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     edges = steady(edges)
     before = None
