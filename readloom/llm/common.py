@@ -12,6 +12,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -65,11 +66,20 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """The checkpoints of one call of an operator, deleted once its result is at rest."""
+    """The checkpoints and written tables of one call of an operator, deleted once its result is at rest."""
 
     def __init__(self) -> None:
         self.files: list[tuple[SparkSession, str]] = []
 
+    def table(self, df: DataFrame) -> DataFrame:
+        """df as a table written to the shared folder: packed, and of known size, so that small ones may be broadcast. The exchanges behind it are let go of: Spark deletes them once the driver's collector has met them."""
+        spark = df.sparkSession
+        path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.files.append((spark, path))
+        spark.sparkContext._jvm.System.gc()
+        return spark.read.schema(df.schema).parquet(path)
+
     def steady(self, df: DataFrame) -> DataFrame:
         out = steady(df)
         file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
@@ -77,12 +87,6 @@ class Scratch:
             self.files.append((df.sparkSession, file.get()))
         return out
 
-    def settled(self, df: DataFrame) -> DataFrame:
-        """steady(), and the exchanges behind it are let go of: Spark deletes them once the driver's collector has met them."""
-        out = self.steady(df)
-        df.sparkSession.sparkContext._jvm.System.gc()
-        return out
-
     def result(self, df: DataFrame) -> DataFrame:
         """df at rest in a checkpoint of its own; the others go."""
         out = steady(df)
