@@ -1,6 +1,7 @@
 """Near duplicates by DartMinHash signatures, banded joining and an exact check.
 
-Documents are weighted sets of shingles (five words; a shorter text is one shingle). The plane of weight and
+Documents are weighted sets of shingles (five words; a shorter text is one shingle), each weighing as much as it
+occurs, and are similar to the degree of their generalised Jaccard similarity. The plane of weight and
 rank above a shingle is divided into regions of doubling size; a hash of shingle and region throws a Poisson
 number of darts into it, each with a weight, a rank and a coordinate. The darts below the shingle's weight and
 under a rank bound that gives about k ln k + 2k darts a document count; the earliest dart of each coordinate is
@@ -16,8 +17,16 @@ by their hash, bound from above how similar two nodes can be; pairs between comp
 check as well. So no pair that shares a band goes unexamined unless it is of one component already or provably below the
 similarity, and pairs within a group of copies are never written out.
 
+A node is named by the smallest doc_id that has its shingles; where rows of one doc_id have different texts, so that
+two nodes would have one name, these are named by a hash of their shingles, and their classes are held together.
+
 Defined results: a null text or null doc_id is compared with nothing (class_id is doc_id); texts without a
-word are of a class with equal texts only; rows with one doc_id are one document; other columns are not read.
+word are of a class with equal texts only; rows with one doc_id are one document, in one class with all that any
+of its texts is similar to, whatever the order of rows; an empty table gives no rows; other columns are not read,
+whatever their names.
+
+Bound of the work: n documents that are all of one band, in n components, and pairwise within the bound of grouped
+counts but below the similarity, cost n^2 comparisons of counts; no signature tells such pairs from similar ones.
 """
 
 from __future__ import annotations
@@ -32,7 +41,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import common
-from readloom.llm.common import steady
 from readloom.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -114,7 +122,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-_SKETCH = "doc_id long, d1 long, d2 long, n long, bands array<long>"
+_SKETCH = "doc_id long, text_key long, d1 long, d2 long, bands array<long>"
 
 
 def _sketcher(shingle: int, bands: int, rows: int, counted: bool):
@@ -140,7 +148,7 @@ def _sketcher(shingle: int, bands: int, rows: int, counted: bool):
                 digest[:, i] = np.frombuffer(raw, np.int64)
             offsets = np.where(size > 0, bands, 0).cumsum()
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], offsets]), pa.int32()), pa.array(keys[size > 0].reshape(-1)))
-            yield pa.record_batch([batch.column(0), pa.array(digest[0]), pa.array(digest[1]), pa.array(size, pa.int64()), lists], ["doc_id", "d1", "d2", "n", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(digest[0]), pa.array(digest[1]), lists], ["doc_id", "text_key", "d1", "d2", "bands"])
 
     return run
 
@@ -177,9 +185,9 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return both.mapInArrow(_checker(shingle, similarity, counted), "a long, b long, similarity double")
 
 
-def _mixed(held: DataFrame) -> DataFrame:
+def _mixed(held: DataFrame, scratch: common.Scratch) -> DataFrame:
     """The rows of bands that hold nodes of several components."""
-    keys = steady(held.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key"))
+    keys = scratch.steady(held.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key"))
     return held.join(keys, "key", "left_semi")
 
 
@@ -193,68 +201,96 @@ def _sizer(shingle: int, counted: bool):
     return run
 
 
-def _shareable(texts: DataFrame, classes: DataFrame, shingle: int, counted: bool) -> DataFrame:
+def _shareable(texts: DataFrame, classes: DataFrame, shingle: int, counted: bool, scratch: common.Scratch) -> DataFrame:
     """Of each node (node, text): n, the weight of its shingles, and that of those which a node of another class has as well, dealt to GROUPS parts s0, s1, ... by their hash. classes: (node, class)."""
-    grams = steady(texts.select("node", "text").mapInArrow(_sizer(shingle, counted), "node long, shingle long, weight long").join(classes, "node"))
-    single = steady(grams.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle"))
+    grams = scratch.steady(texts.select("node", "text").mapInArrow(_sizer(shingle, counted), "node long, shingle long, weight long").join(classes, "node"))
+    single = scratch.steady(grams.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle"))
     part = F.pmod("shingle", F.lit(GROUPS))
     shared = grams.join(single, "shingle").groupBy("node").agg(*[F.sum(F.when(part == i, F.col("weight")).otherwise(0)).cast("int").alias(f"s{i}") for i in range(GROUPS)])
     return grams.groupBy("node").agg(F.sum("weight").alias("n")).join(shared, "node", "left").fillna(0)
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = True) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its group) and rows (how often the document occurs). counted: weigh shingles by how often they occur; else each weighs one."""
+    scratch = common.Scratch()
+    steady = scratch.steady
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    usable = narrow.where("doc_id is not null and text is not null")
-    sketches = steady(usable.mapInArrow(_sketcher(shingle, bands, rows, counted), _SKETCH))
-    # equal shingle sets: one node, named by the smallest doc_id
-    nodes = steady(sketches.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
+    usable = narrow.where("doc_id is not null and text is not null").withColumn("text_key", F.xxhash64("text"))
+    sketches = steady(usable.select("doc_id", "text", "text_key").mapInArrow(_sketcher(shingle, bands, rows, counted), _SKETCH))
+    # equal shingle sets: one node, named by the smallest doc_id and read in one of its texts
+    nodes = steady(sketches.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("of")).select("d1", "d2", F.col("of.doc_id").alias("node"), "of.*"))
     member = steady(sketches.groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("rows")))
-    member = steady(member.join(nodes, ["d1", "d2"]))
-    first = sketches.select("d1", "d2", "bands", F.col("doc_id").alias("node")).join(nodes, ["d1", "d2", "node"], "left_semi")
+    several = not member.groupBy("doc_id").count().where("count > 1").isEmpty()
+    repeated = several or not member.where("rows > 1").isEmpty()
+    if several:
+        again = nodes.groupBy("node").agg(F.count("*").alias("times")).where("times > 1")
+        nodes = nodes.join(again, "node", "left").withColumn("node", F.when(F.col("times") > 1, F.xxhash64("d1", "d2")).otherwise(F.col("node")))
+        nodes = steady(nodes.select("d1", "d2", "node", "doc_id", "text_key"))
+    member = steady(member.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]))
+    first = sketches.select("d1", "d2", "bands", "doc_id", "text_key").join(nodes, ["d1", "d2", "doc_id", "text_key"])
+    first = first.dropDuplicates(["node"]) if repeated else first
     banded = steady(first.select("node", F.explode("bands").alias("key")))
     met = steady(banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader != last").select("key", "leader"))
     met = steady(banded.join(met, "key"))
     stars = steady(met.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    # the texts of all candidates, fetched once
-    ids = met.select(F.col("node").alias("doc_id")).distinct()
-    texts = usable.join(ids, "doc_id", "left_semi")
-    if not member.where("rows > 1").isEmpty() or not member.groupBy("doc_id").count().where("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["doc_id"])
-    texts = steady(texts)
-    links = steady(verified(stars, texts, shingle, similarity, counted).select("a", "b"))
-    joined = components(links)
-    # bands with nodes of several components: the pairs between components, but for those checked already
-    held = steady(met.join(joined, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
-    held = steady(_mixed(held))
+    joined = None
+    if not stars.isEmpty():
+        # the texts of all candidates, fetched once
+        ids = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key")
+        texts = usable.join(ids, ["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text")
+        texts = steady(texts.dropDuplicates(["doc_id"]) if repeated else texts)
+        links = steady(verified(stars, texts, shingle, similarity, counted).select("a", "b"))
+        joined = components(links, scratch=scratch)
+        # bands with nodes of several components: the pairs between components, but for those checked already
+        held = steady(met.join(joined, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
+        held = steady(_mixed(held, scratch))
+        more = None if held.isEmpty() else _between(held, stars, texts, shingle, similarity, counted, scratch)
+        if more is not None and not more.isEmpty():
+            links = links.unionByName(more)
+            joined = None if several else components(links, scratch=scratch)
+    if several:
+        # a doc_id with different texts is one document, and holds their classes together
+        first = member.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.min("node").alias("first")).where("nodes > 1").select("doc_id", "first")
+        same = member.join(first, "doc_id").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        joined = components(same if stars.isEmpty() else links.unionByName(same), scratch=scratch)
+    classed = member if joined is None else member.join(steady(joined), "node", "left")
+    documents = classed.select("doc_id", "rows", (F.col("node") if joined is None else F.coalesce("class", "node")).alias("class_id"))
+    documents = documents.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("rows").alias("rows"))
+    if several:
+        # classes were named by nodes, some of them by a hash
+        documents = steady(documents)
+        names = documents.groupBy("class_id").agg(F.min("doc_id").alias("name"))
+        documents = documents.join(names, "class_id").select("doc_id", F.col("name").alias("class_id"), "rows")
+    alone = narrow.where("doc_id is null or text is null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    alone = alone.join(member.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), "rows")
+    return scratch.result(documents.unionByName(alone))
+
+
+def _between(held: DataFrame, stars: DataFrame, texts: DataFrame, shingle: int, similarity: float, counted: bool, scratch: common.Scratch) -> DataFrame:
+    """Links between nodes of different components that share a band. held: (key, node, class) of the bands that hold several components; stars: the pairs that were checked."""
+    steady = scratch.steady
     open_texts = steady(texts.withColumnRenamed("doc_id", "node").join(held.select("node").distinct(), "node", "left_semi"))
-    shared = steady(_shareable(open_texts, held.select("node", "class").distinct(), shingle, counted))
+    shared = steady(_shareable(open_texts, held.select("node", "class").distinct(), shingle, counted, scratch))
     held = steady(held.join(shared, "node"))
     # what two nodes of different components share is at most the smaller part of each group; most nodes have no partner within the bound
     parts = [f"s{i}" for i in range(GROUPS)]
     all_shared = sum((F.col(c) for c in parts), F.lit(0))
     least = steady(held.groupBy("key").agg(F.min("n").alias("smallest")))
     most = all_shared >= F.lit(similarity - 1e-9) * (F.col("n") + F.greatest(F.col("smallest"), all_shared) - all_shared)
-    held = steady(_mixed(held.join(least, "key").where(most).select("key", "node", "class", "n", *parts)))
+    held = steady(_mixed(held.join(least, "key").where(most).select("key", "node", "class", "n", *parts), scratch))
     other = held.select("key", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in parts])
     together = sum((F.least(F.col(c), F.col(f"{c}_b")) for c in parts), F.lit(0))
     between = held.withColumnRenamed("node", "a").join(other, "key").where((F.col("class") != F.col("class_b")) & (F.col("a") < F.col("b")) & (together >= F.lit(similarity - 1e-9) * (F.col("n") + F.col("n_b") - together)))
     rest = steady(between.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = steady(verified(rest, texts, shingle, similarity, counted).select("a", "b"))
-    # a doc_id with different texts is one document, and holds their classes together
-    several = steady(member.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.min("node").alias("first")).where("nodes > 1").select("doc_id", "first"))
-    same = member.join(several, "doc_id").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    joined = steady(components(links.unionByName(more).unionByName(same)))
-    documents = member.join(joined, "node", "left").select("doc_id", "rows", F.coalesce("class", "node").alias("class_id"))
-    documents = documents.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("rows").alias("rows"))
-    alone = narrow.where("doc_id is null or text is null").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    alone = alone.join(member.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), "rows")
-    return documents.unionByName(alone)
+    return steady(verified(rest, texts, shingle, similarity, counted).select("a", "b"))
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each class: that of the smallest doc_id. Rows with a null doc_id stay."""
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each class: that of the smallest doc_id; of several rows with it, that of the smallest text. Rows with a null doc_id stay."""
     kept = found.where("doc_id = class_id").select(F.col("doc_id").alias(doc_id), "rows")
     once = docs.join(kept.where("rows = 1").select(doc_id), doc_id, "left_semi")
-    often = docs.join(kept.where("rows > 1").select(doc_id), doc_id, "left_semi").dropDuplicates([doc_id])
+    often = docs.join(kept.where("rows > 1").select(doc_id), doc_id, "left_semi")
+    whole = F.struct(docs[text], *[docs[c] for c in docs.columns if c != text])
+    often = often.groupBy(docs[doc_id].alias("_id")).agg(F.min(whole).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    once = once.select(*docs.columns)
     return once.unionByName(often).unionByName(docs.where(docs[doc_id].isNull()))
