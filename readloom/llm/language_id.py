@@ -6,8 +6,8 @@ learned transitions make labels cling together, so that a code-switched text is
 Forward-backward gives each word's label distribution; a text's language is the one with most of that mass,
 its score the share.
 
-Fitting: a sample of at most SAMPLE_DOCS labelled rows a language and at most SAMPLE_WORDS words of each (the
-documented bound), on the driver. Half of the training chains are spliced from two languages, so that
+Fitting: a sample of at most SAMPLE_DOCS labelled rows of every language and at most SAMPLE_WORDS words of each (the
+documented bound), on the driver. Every label that occurs is learnt; their number is taken to be that of languages. Half of the training chains are spliced from two languages, so that
 transitions see switches. Only text and label are read.
 
 Prediction: words are looked up in a bounded table of evidence, new ones are scored together. Chains are cut
@@ -15,7 +15,9 @@ into blocks; products of the blocks' step matrices carry the forward and backwar
 that the result is that of the whole chain while numpy works on all blocks at once.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without labelled rows every text
-is `und`; repeated rows get equal results; other columns pass unchanged.
+is `und`; repeated rows get equal results, and count once in the sample; of labels of equal mass the first in code
+point order is given; an empty table gives no rows; words are of any length (read in pieces of LETTERS letters), and
+letters of scripts without spaces are words; other columns pass unchanged, and the new one's name gives way to theirs.
 """
 
 from __future__ import annotations
@@ -25,19 +27,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm import common
 
-#: The bound of the sample: rows a language, words of a row (evenly spaced windows of a longer text), languages.
-SAMPLE_DOCS, SAMPLE_WORDS, LABELS = 120, 1200, 200
-#: Buckets of hashed features, letters of a word that features see (its first and last halves), and words remembered.
+#: The bound of the sample: rows a language, and words of a row (evenly spaced windows of a longer text).
+SAMPLE_DOCS, SAMPLE_WORDS = 120, 1200
+#: Buckets of hashed features, letters of a word (longer ones are read in pieces), and words remembered.
 BUCKETS, LETTERS, REMEMBERED = 1 << 15, 24, 100_000
 #: Words of a training chain and of an inference block.
 CHAIN, BLOCK = 64, 32
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Scripts that are written without spaces; each of their letters is a word.
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W\d_{_SINGLE}]{{1,{LETTERS}}}|[{_SINGLE}]")
 
 
 def _hash(codes: np.ndarray, salt: int) -> np.ndarray:
@@ -51,8 +55,7 @@ def _hash(codes: np.ndarray, salt: int) -> np.ndarray:
 
 def features(words: list[str]) -> np.ndarray:
     """Buckets of each word's affixes and n-grams; 0 where a word is too short for one."""
-    half = LETTERS // 2
-    text = np.array([w if len(w) <= LETTERS else w[:half] + w[-half:] for w in words], f"U{LETTERS}")
+    text = np.array(words, f"U{LETTERS}")
     letters = text.view(np.uint32).reshape(len(words), LETTERS).astype(np.uint64)
     length = np.char.str_len(text)
     padded = np.zeros((len(words), LETTERS + 2), np.uint64)
@@ -143,9 +146,8 @@ def sample(text: str) -> list[str]:
 
 
 def _sampled(texts: pa.Array) -> pa.Array:
-    """The sample of each text as text, very long words without their middle (features do not see it)."""
-    most = 8 * LETTERS
-    return pa.array([" ".join(w if len(w) <= 2 * most else w[:most] + w[-most:] for w in sample(t.as_py())) for t in texts], pa.string())
+    """The sample of each text as text."""
+    return pa.array([" ".join(sample(t.as_py())) for t in texts], pa.string())
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 5) -> Chain | None:
@@ -227,23 +229,18 @@ def _expectations(e: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def learn(docs: DataFrame, rows: Column, text: str = "text", label: str = "lang", doc_id: str = "doc_id") -> Chain | None:
     """Fit a chain to a bounded sample of the labelled rows that `rows` admits: per label, those of the smallest hash of doc_id."""
-    labelled = docs.where(rows & docs[label].isNotNull() & docs[text].isNotNull()).select(docs[text].alias("text"), docs[label].cast("string").alias("label"), F.xxhash64(docs[doc_id]).alias("draw"))
-    counted = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS).collect()
+    labelled = docs.where(rows & docs[label].isNotNull() & docs[text].isNotNull()).select(docs[text].alias("text"), docs[label].cast("string").alias("label"), F.xxhash64(docs[doc_id], docs[text]).alias("draw"))
+    counted = labelled.groupBy("label").count().collect()  # a row a language
     if not counted:
         return None
-    # a little over the wanted rows of each label are drawn by the hash, then cut to the bound
-    chance = None
-    for r in counted:
-        edge = min(1.0, 1.5 * (SAMPLE_DOCS + 20) / r["count"])
-        this = (F.col("label") == r["label"]) & (F.col("draw") <= min((int(edge * (1 << 32)) << 32) - (1 << 63), (1 << 63) - 1))
-        chance = this if chance is None else chance | this
-    # windows of a long text are taken where it lies
-    drawn = sorted(labelled.where(chance).select("label", "draw", F.arrow_udf(_sampled, "string")("text").alias("text")).limit(2 * len(counted) * (SAMPLE_DOCS + 20)).collect(), key=lambda r: (r["label"], r["draw"], r["text"]))
-    taken: dict[str, list[str]] = {}
-    for r in drawn:
-        if len(rows_of := taken.setdefault(r["label"], [])) < SAMPLE_DOCS:
-            rows_of.append(r["text"])
-    return fit([(t, k) for k, texts in taken.items() for t in texts])
+    # a little over the wanted rows of each label are drawn by the hash, then cut to the bound; equal rows are drawn once
+    edges = [(r["label"], min((int(min(1.0, 1.5 * (SAMPLE_DOCS + 20) / r["count"]) * (1 << 32)) << 32) - (1 << 63), (1 << 63) - 1)) for r in counted]
+    edges = F.broadcast(docs.sparkSession.createDataFrame(edges, "label string, edge long"))
+    drawn = labelled.join(edges, "label").where("draw <= edge").dropDuplicates(["label", "draw"])
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("draw", "text"))).where(F.col("place") <= SAMPLE_DOCS)
+    # windows of a long text are taken in the executors
+    taken = drawn.select("label", "draw", F.arrow_udf(_sampled, "string")("text").alias("text")).collect()
+    return fit([(r["text"], r["label"]) for r in sorted(taken, key=lambda r: (r["label"], r["draw"], r["text"]))])
 
 
 class _Table(dict):

@@ -10,10 +10,12 @@ landing problem: the two undecided ones and a dozen held back from the flight, o
 smallest, are rounded together, of all ways the one whose word total is nearest (then whose document total is).
 
 The driver sees one row a source (their number is taken to be bounded, as targets are given by source).
-Randomness comes from a hash of source and block, so reruns agree.
+Randomness comes from a hash of source and block, so reruns agree. Equal rows are counted first and numbered then, so
+that they are dealt to blocks like other rows, however many they are.
 
 Defined results: null source is a source of its own; null and empty texts have size 0 and move no word total;
-repeated rows are decided each on its own; an empty table gives no rows.
+repeated rows are decided each on its own; null doc_ids are allowed; ties in size go by a hash of doc_id and text; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BLOCK = 4096
 WEIGHTS = (3, 1, 2)
 #: Documents of a source that are held back for the landing; all their subsets are weighed.
 LANDING = 12
+#: Equal rows that are numbered at once.
+NUMBERED = 1024
 #: Share of all words that the mix takes, and the most that it takes of a source.
 SHARE, MOST = 1.5, 2.0
 #: A word, for sizes.
@@ -102,11 +106,9 @@ def flight(size: np.ndarray, p: np.ndarray, draws: np.random.Generator, land: bo
 
 
 
-
-
 def _decide(land: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["size", "tie", "doc_id", "nth"], ascending=[False, True, True, True], kind="stable")
         seed = zlib.crc32(repr((key[0], int(key[1]), land)).encode())
         rows["p"] = flight(rows["size"].to_numpy(), rows["p"].to_numpy(), np.random.Generator(np.random.PCG64(seed)), land)
         return rows.drop(columns="block")
@@ -115,7 +117,7 @@ def _decide(land: bool):
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies (how often the mix takes it) and tie (a hash of doc_id and text).."""
+    """One row per document: doc_id, source, size, source_size, target, copies (how often the mix takes it) and tie (a hash of doc_id and text)."""
     body = docs[text].cast("string")
     sized = docs.select(
         docs[doc_id].cast("long").alias("doc_id"),
@@ -123,22 +125,29 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(docs[doc_id].cast("long"), body).alias("tie"),
     )
-    sized = common.steady(sized)
-    totals = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+    scratch = common.Scratch()
+    sized = scratch.steady(sized.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("n")))
+    totals = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()}
     target = targets({s: v[0] for s, v in totals.items()}, weights, share, most)
     rows = [(s, size, float(target[s]), target[s] / size if size else 0.0, math.ceil(n / BLOCK)) for s, (size, n) in totals.items()]
     plan = docs.sparkSession.createDataFrame(rows or [(None, 0, 0.0, 0.0, 1)], "source string, source_size long, target double, ratio double, blocks long")
+    # equal rows get numbers, in parts that are dealt out where there are many
+    parts = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {NUMBERED} as int)"))))
+    if not sized.where(F.col("n") > NUMBERED).isEmpty():
+        parts = parts.repartition("tie", "part")
+    first = F.col("part").cast("long") * NUMBERED
+    sized = parts.withColumn("nth", F.explode(F.sequence(first, F.least(F.col("n"), first + NUMBERED) - 1))).drop("n", "part")
     same = F.col("plan.source").eqNullSafe(F.col("rows.source"))
     planned = sized.alias("rows").join(F.broadcast(plan).alias("plan"), same).select("rows.*", "plan.blocks", F.floor("ratio").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("p"))
     level, blocks, done = planned, max([r[4] for r in rows], default=1), []
-    schema = "doc_id long, source string, size long, tie long, blocks long, copies long, p double"
+    schema = "doc_id long, source string, size long, tie long, nth long, blocks long, copies long, p double"
     while True:
-        blocked = level.withColumn("block", F.pmod(F.xxhash64("tie", F.lit(blocks)), F.greatest("blocks", F.lit(1))))
+        blocked = level.withColumn("block", F.pmod(F.xxhash64("tie", "nth", F.lit(blocks)), F.greatest("blocks", F.lit(1))))
         moved = blocked.groupBy("source", "block").applyInPandas(_decide(land=blocks <= 1), schema)
         if blocks <= 1:
             done.append(moved)
             break
-        moved = common.steady(moved)
+        moved = scratch.steady(moved)
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(moved.where(~open_))
         # a block leaves two rows at most
@@ -148,4 +157,4 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     for more in done[1:]:
         out = out.unionByName(more)
     out = out.alias("rows").join(F.broadcast(plan).alias("plan"), same)
-    return out.select("rows.doc_id", "rows.source", "rows.size", "plan.source_size", "plan.target", (F.col("copies") + F.col("p").cast("long")).alias("copies"), "rows.tie")
+    return scratch.result(out.select("rows.doc_id", "rows.source", "rows.size", "plan.source_size", "plan.target", (F.col("copies") + F.col("p").cast("long")).alias("copies"), "rows.tie"))

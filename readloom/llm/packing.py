@@ -8,11 +8,13 @@ cut off, and the rest goes the same way. When a worker ends, the pieces of its o
 cut where a sequence is full, so that only its last sequence is short. Tokens never leave the worker: the plan
 is one pass over the documents without a shuffle.
 
-Ids are those of the tokenizer file's byte-level BPE, followed by one end id a document; strings of special
-tokens in a text are ordinary text. They are computed by a faster library from the same file's vocabulary.
+Ids are those that `tokenizers` gives for the file (add_special_tokens=False), followed by one end id a document; the
+string of a special token in a text becomes that token's id. They are computed by a faster library from the same
+file's vocabulary; as its pattern engine recurses over runs of white space and gives up on very long ones, texts with
+such runs go to `tokenizers` itself. Both give the same ids.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; doc_id may be null; an
-empty table gives no rows; a text of any length is tokenised whole.
+empty table gives no rows; a text of any length is tokenised whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,9 +46,7 @@ _SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id lon
 def _reference(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 @functools.lru_cache(2)
@@ -61,14 +61,14 @@ def encoder(path: str):
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-    special = {t["content"] for t in model.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", ())}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-    fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> np.ndarray:
         if len(text) > LONG_SPACE and re.search(rf"\s{{{LONG_SPACE}}}", text):  # too deep for the fast library's pattern engine
             return np.array(_reference(path).encode(text, add_special_tokens=False).ids, "<u4")
-        return np.array(fast.encode_ordinary(text), "<u4")
+        return np.array(fast.encode(text, allowed_special="all"), "<u4")
 
     return encode
 

@@ -3,7 +3,7 @@
 Records are ordered by (hash of the text, doc_id, a hash of the row), so that equal texts are neighbours. A
 size-weighted sample of these keys gives quantile boundaries of many narrow ranges; each record goes to its
 range by binary search; exact sizes of the ranges are counted, and a range that holds far more than its share is
-sampled anew and subdivided until none does. Ranges are then dealt to shards in order, each to the shard in
+sampled anew and subdivided until none does or what is left over is a single record. Ranges are then dealt to shards in order, each to the shard in
 which the middle of its bytes falls. Equal texts share a shard unless a boundary has to fall between
 them: a group of copies that holds a third of all rows is divided by doc_id.
 
@@ -11,7 +11,7 @@ What the driver sees grows with the number of ranges only, which is a parameter.
 in its shard plus the rank within the range, so no task holds a whole shard.
 
 Defined results: null texts have no bytes and size 1; repeated rows keep each its own slot; an empty table
-gives no rows; other columns are not read.
+gives no rows; ties are broken by the row's place; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +30,6 @@ RANGES = 64
 SAMPLES = 48
 #: A range is overfull beyond so many times its share.
 OVERFULL = 2.0
-#: Rounds of subdivision; a round cuts each overfull range into as many parts as it holds shares.
-ROUNDS = 6
-
 
 def _with_ranges(keyed: DataFrame, splitters: list[tuple[int, int, int]]) -> DataFrame:
     """Add `range`: how many splitters are not above the record's key. splitters are sorted and bounded by the parameters."""
@@ -106,14 +103,20 @@ def shards(docs: DataFrame, n: int = 8, text: str = "text", doc_id: str = "doc_i
     splitters: list[tuple[int, int, int]] = []
     ranged = keyed.withColumn("range", F.lit(0).cast("long"))
     sizes: dict[int, int] = {0: total} if total else {}
-    for _ in range(1 + ROUNDS):
-        full = {k: float(v) for k, v in sizes.items() if v > OVERFULL * share}
+    rows: dict[int, int] = {}
+    done: set[tuple] = set()
+    while True:
+        # a range that a sample found nothing to divide in is a record larger than its share
+        begin = lambda k: splitters[k - 1] if k else None
+        full = {k: float(v) for k, v in sizes.items() if v > OVERFULL * share and (begin(k), v) not in done}
         if not full:
             break
         sampled = _sample(ranged, full, share)
-        new = {s for k, keys in sampled.items() for s in _quantiles(keys, max(2, round(full[k] / share)))} - set(splitters)
+        cut = {k: set(_quantiles(keys, max(2, round(full[k] / share)))) - set(splitters) for k, keys in sampled.items()}
+        done |= {(begin(k), sizes[k]) for k, found in cut.items() if not found}
+        new = set().union(*cut.values())
         if not new:
-            break
+            continue
         splitters = sorted({*splitters, *new})
         ranged = _with_ranges(keyed, splitters)
         counted = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()

@@ -16,15 +16,14 @@ PATH = tokenizer_file("byte_bpe_50k.json")
 def reference():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_the_tokenizers(reference, awkward):
     rng = random.Random(1)
     encode = packing.encoder(PATH)
     texts = ["".join(rng.choice("ab  xyZ\n\t東é😀'st 12<|endoftext|>") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext", "<|endoftext|>" + " " * 6000]
     for t in [*texts, *(t for _, t in awkward if t), " " * 20_000 + "x"]:
         assert encode(t).tolist() == reference.encode(t, add_special_tokens=False).ids
 
