@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a weighted set of terms (its words, weighted by how often they occur). For each of K samples, a hash
+A text is a weighted set of terms (its words, weighted by how often they occur; a text without a word is one term). For each of K samples, a hash
 of sample and term gives the term two gamma(2, 1) variables r and c and a uniform b, the same wherever the
 term occurs. With t = floor(ln w / r + b), the term's level, its sampling value is ln c - r (t - b + 1); the
 term of the smallest value, with its level, is the sample. Two texts agree in a sample with the chance of
@@ -10,14 +10,15 @@ the term and level, as it depends on nothing else.
 Gamma variables are sums of two negative logarithms of uniforms, read from a table of 2^16 steps. Values are
 computed once for each distinct (term, weight) of a batch, then the smallest of each text is taken.
 
-A fingerprint is K samples of 16 bits in hexadecimal. Defined results: a null or empty text, or one without a
-word, has the fingerprint of zeros; likeness of two such is 1.0, of one such and another text 0.0; equal texts have equal
-fingerprints; a text of any length is read whole.
+A fingerprint is K samples of 16 bits in hexadecimal. Defined results: a null or empty text has the fingerprint of
+zeros; likeness of two such is 1.0, of one such and another text 0.0; equal texts have equal fingerprints; a text of
+any length is read whole.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 
@@ -52,9 +53,16 @@ def sampling_values(term: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(texts: common.Texts, k: int = SAMPLES) -> np.ndarray:
-    """(n, k) samples of 16 bits; zeros for a text without words."""
+    """(n, k) samples of 16 bits; zeros for an empty text."""
     words = common.Words(texts)
     term, owner, count = common.unique_grams(words.hash, words.text)
+    wordless = np.flatnonzero((words.counts == 0) & (np.diff(texts.offsets) > 0))
+    if len(wordless):
+        whole = [hashlib.blake2b(texts.data[texts.offsets[i] : texts.offsets[i + 1]].tobytes(), digest_size=8).digest() for i in wordless]
+        term = np.concatenate([term, np.frombuffer(b"".join(whole), np.uint64)])
+        owner, count = np.concatenate([owner, wordless]), np.concatenate([count, np.ones(len(wordless), np.int64)])
+        order = np.argsort(owner, kind="stable")
+        term, owner, count = term[order], owner[order], count[order]
     out = np.zeros((len(texts), k), np.uint16)
     if not len(term):
         return out

@@ -6,7 +6,11 @@ words. Where it meets an identifier tag, the expression behind the tag (`mit or
 is read from the text as it stands, put into postfix order by precedence (with, and, or) and evaluated: an `or`
 is permitted where a side is, an `and` where both are, and a `with` follows its licence.
 
-Defined results: null and empty texts have no word and no label; places may overlap and each counts; a
+Punctuation that ends an identifier (`MIT.`) does not belong to it, a tag and its expression may stand in quotes, and
+`+` after an identifier stands for later versions and changes nothing in what is permitted.
+
+Defined results: null and empty texts have no word and no label; repeated rows get equal results; an empty table gives
+no rows; other columns pass unchanged, and the new one's name gives way to theirs; places may overlap and each counts; a
 malformed expression (operators without operands, open parentheses) gives its identifiers but is not permitted. An
 expression ends at its line unless a parenthesis or an operator is open there.
 """
@@ -29,42 +33,76 @@ BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights r
 NOTICE_PHRASES = {
     "permission is hereby granted free of charge": ("mit", 0.9),
     "mit license": ("mit", 0.8),
+    "released under the mit": ("mit", 0.8),
+    "permission to use copy modify and or distribute this software": ("isc", 0.9),
+    "isc license": ("isc", 0.8),
     "apache license": ("apache", 0.8),
     "licensed under the apache license": ("apache", 0.9),
+    "apache software license": ("apache", 0.8),
     "redistribution and use in source and binary forms": ("bsd", 0.9),
     "bsd license": ("bsd", 0.8),
+    "neither the name of": ("bsd", 0.5),
     "mozilla public license": ("mpl", 0.9),
+    "eclipse public license": ("epl", 0.9),
+    "common development and distribution license": ("cddl", 0.9),
+    "european union public licence": ("eupl", 0.9),
+    "boost software license": ("boost", 0.9),
+    "artistic license": ("artistic", 0.8),
+    "zlib license": ("zlib", 0.8),
+    "python software foundation license": ("psf", 0.9),
+    "open database license": ("odbl", 0.9),
+    "sil open font license": ("ofl", 0.9),
     "lesser general public license": ("lgpl", 0.9),
+    "library general public license": ("lgpl", 0.9),
     "affero general public license": ("agpl", 0.9),
+    "gnu free documentation license": ("gfdl", 0.9),
+    "do what the fuck you want to public license": ("wtfpl", 0.9),
+    "business source license": ("busl", 0.9),
+    "server side public license": ("sspl", 0.9),
     "creative commons": ("creative-commons", 0.7),
+    "creative commons attribution": ("cc-by", 0.8),
     "cc by sa": ("cc-by-sa", 0.8),
     "cc by nc": ("cc-by-nc", 0.8),
     "cc by nd": ("cc-by-nd", 0.8),
+    "cc by nc sa": ("cc-by-nc-sa", 0.8),
+    "cc by nc nd": ("cc-by-nc-nd", 0.8),
     "cc0": ("cc0", 0.8),
+    "unlicense": ("unlicense", 0.8),
+    "released into the public domain": ("public-domain", 0.8),
     "public domain": ("public-domain", 0.5),
     "proprietary and confidential": ("proprietary", 0.9),
     "do not distribute": ("proprietary", 0.6),
+    "unauthorized copying of this file": ("proprietary", 0.9),
     "used with permission": ("permission", 0.5),
     "copyright": ("copyright", 0.4),
 }
 #: Words of an identifier tag, and the pattern of the tag with its expression in the text.
 TAG = "spdx license identifier"
-_TAG_TEXT = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)")
+_TAG_TEXT = re.compile(rb"spdx-license-identifier[\"']?[ \t]*:[ \t]*(?:(?P<quote>[\"'])(?P<quoted>[^\r\n\"']*)(?P=quote)|(?P<open>[^\r\n]*))")
 _NEXT_LINE = re.compile(rb"(?:\r\n|\r|\n)([^\r\n]*)")
-_TOKEN = re.compile(rb"\(|\)|[0-9a-z.+:-]+")
+_TOKEN = re.compile(rb"\(|\)|[0-9a-z](?:[0-9a-z.+:-]*[0-9a-z+])?")
+_SENTENCE = re.compile(rb"[,;]|\.\s")
 #: Binding strength of the operators of an expression.
 PRECEDENCE = {"with": 3, "and": 2, "or": 1}
 #: Identifiers taken as permitted when no others are given.
-PERMITTED = frozenset(["0bsd", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc-by-4.0", "cc0-1.0", "isc", "mit", "unlicense", "zlib"])
+PERMITTED = frozenset(
+    "0bsd afl-3.0 apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsl-1.0 cc-by-3.0 cc-by-4.0 cc-pddc cc0-1.0 ecl-2.0 fsfap hpnd isc "
+    "libpng-2.0 mit mit-0 ms-pl mulanpsl-2.0 ncsa odc-by-1.0 ofl-1.1 openssl pddl-1.0 php-3.01 postgresql psf-2.0 python-2.0 ruby ssh-short tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 xnet zlib zpl-2.1".split()
+)
 BASE_WEIGHT = 0.7
 
 
+def _tokens(expression: str) -> list[str]:
+    """Identifiers, operators and parentheses, up to a comma, a semicolon or the end of a sentence."""
+    return [t.decode() for t in _TOKEN.findall(_SENTENCE.split(expression.encode(), maxsplit=1)[0])]
+
+
 def postfix(expression: str) -> list[str] | None:
     """Shunting-yard: operands and operators in postfix order, None where the expression is malformed."""
     output: list[str] = []
     stack: list[str] = []
     operand_next = True
-    for token in (t.decode() for t in _TOKEN.findall(expression.encode())):
+    for token in _tokens(expression):
         if token in PRECEDENCE:
             if operand_next:
                 return None
@@ -97,7 +135,7 @@ def postfix(expression: str) -> list[str] | None:
 def _unfinished(expression: str) -> bool:
     """Whether a parenthesis or an operator is open at the end of an expression, so that it goes on."""
     depth, operand_next = 0, True
-    for token in (t.decode() for t in _TOKEN.findall(expression.lower().encode())):
+    for token in _tokens(expression.lower()):
         if token in PRECEDENCE:
             if operand_next:
                 return False
@@ -130,7 +168,7 @@ def _operands(expression: str) -> list[str]:
     """Identifiers of a malformed expression, up to prose behind it."""
     out: list[str] = []
     behind = False
-    for token in (t.decode() for t in _TOKEN.findall(expression.encode())):
+    for token in _tokens(expression):
         if token in PRECEDENCE or token in ("(", ")"):
             behind = behind and token == ")"
         elif behind:
@@ -151,7 +189,7 @@ def evaluate(expression: str, permitted: frozenset[str] = PERMITTED) -> tuple[li
     for token in line:
         if token not in PRECEDENCE:
             names.append(token)
-            stack.append(token in permitted)
+            stack.append(token.rstrip("+") in permitted)
             continue
         right, left = stack.pop(), stack.pop()
         stack.append(left if token == "with" else left and right if token == "and" else left or right)
@@ -205,7 +243,7 @@ def scan(text: str | None, base: dict[str, str] = BASE_PHRASES, permitted: froze
         noted.add(phrase)
     if TAG in noted:
         for m in _TAG_TEXT.finditer(raw.lower()):
-            expression = _expression(m.string, *m.span(1))
+            expression = _expression(m.string, *m.span("open")) if m["quoted"] is None else m["quoted"]
             names, allowed = evaluate(expression.decode("latin-1"), permitted)
             expressions.append({"expression": expression.decode("utf-8", "replace").strip(), "identifiers": names, "permitted": allowed})
             labels.update(f"spdx:{n}" for n in names)

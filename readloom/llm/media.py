@@ -6,11 +6,13 @@ transform and lose bits. The number of bytes stands in the file's comment. Readi
 stored file, takes the payload from the coefficient arrays, and computes the tensor from the same arrays.
 
 Defined results: null and empty texts are one block of zero bytes; equal texts give equal files, tensors and
-features; a text of up to 6 GB fits an image; a file that can't be read raises ValueError.
+features; repeated rows give a row each; an empty table gives no rows; a text of up to 6 GB fits an image; a file
+that can't be read raises ValueError; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,9 +64,9 @@ def feature(rgb: np.ndarray) -> str:
     return f"{rgb.shape[1]}x{rgb.shape[0]};mean " + ",".join(map(str, mean)) + ";saturated " + ",".join(map(str, ends))
 
 
-#: Columns that the operator can give.
-COLUMNS = {"n_bytes": pa.int64(), "media": pa.binary(), "payload": pa.binary(), "width": pa.int32(), "height": pa.int32(), "rgb": pa.binary(), "feature": pa.string()}
-_SQL = {"n_bytes": "long", "media": "binary", "payload": "binary", "width": "int", "height": "int", "rgb": "binary", "feature": "string"}
+#: Columns that the operator can give. rgb_crc32 is that of rgb.
+COLUMNS = {"rgb_crc32": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary(), "payload": pa.binary(), "width": pa.int32(), "height": pa.int32(), "rgb": pa.binary(), "feature": pa.string()}
+_SQL = {"rgb_crc32": "long", "n_bytes": "long", "media": "binary", "payload": "binary", "width": "int", "height": "int", "rgb": "binary", "feature": "string"}
 
 
 def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
@@ -80,7 +82,7 @@ def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k
             for text_bytes, file, (payload, rgb) in zip(raw, files, load(files), strict=True):
                 have = {"n_bytes": len(text_bytes), "media": file, "payload": payload, "width": rgb.shape[1], "height": rgb.shape[0]}
                 for c, column in rows.items():
-                    column.append(rgb.tobytes() if c == "rgb" else feature(rgb) if c == "feature" else have[c])
+                    column.append(rgb.tobytes() if c == "rgb" else feature(rgb) if c == "feature" else zlib.crc32(np.ascontiguousarray(rgb)) if c == "rgb_crc32" else have[c])
             yield pa.record_batch([batch.column(0), *(pa.array(v, COLUMNS[c]) for c, v in rows.items())], ["doc_id", *keep])
 
     return narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {_SQL[c]}" for c in keep))

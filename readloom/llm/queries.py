@@ -45,7 +45,7 @@ def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.media_columns(read_table(spark, sf_dir, "documents"), keep=("n_bytes", "media", "payload", "feature"))
+    stored = media.media_columns(read_table(spark, sf_dir, "documents"), keep=("n_bytes", "media", "payload", "feature", "rgb_crc32"))
     return stored.select(
         "doc_id",
         "n_bytes",
@@ -55,6 +55,7 @@ def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "rgb_crc32",
     )
 
 

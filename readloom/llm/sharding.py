@@ -40,13 +40,13 @@ def _with_ranges(keyed: DataFrame, splitters: list[tuple[int, int, int]]) -> Dat
             keys = np.empty(batch.num_rows, cuts.dtype)
             for name, column in zip("abc", ("k1", "k2", "k3"), strict=True):
                 keys[name] = batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
-            place = _search(cuts, keys)
+            place = search(cuts, keys)
             yield batch.append_column("range", pa.array(place, pa.int64()))
 
     return keyed.mapInArrow(run, T.StructType([*keyed.schema.fields, T.StructField("range", T.LongType())]))
 
 
-def _search(cuts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def search(cuts: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Binary search of three-part keys, all at once."""
     low, high = np.zeros(len(keys), np.int64), np.full(len(keys), len(cuts), np.int64)
     while (open_ := low < high).any():

@@ -12,7 +12,8 @@ of a text is the best paths of its marked words one after the other, and words a
 (scores are whole numbers, so that sums are exact in any order). Where a vocabulary breaks either condition,
 whole texts are the unit instead.
 
-Defined results: null text: null count; empty text: 0; a text of any length is read whole.
+Defined results: null text: null count; empty text: 0; a text of any length is read whole; repeated rows get equal
+results; an empty table gives no rows; other columns pass unchanged, and the new one's name gives way to theirs.
 """
 
 from __future__ import annotations

@@ -63,7 +63,23 @@ def test_operator(frame, monkeypatch, range_bytes):
 def test_awkward(frame, awkward):
     out = neighbours.fingerprint_neighbours(frame(awkward)).collect()
     assert len(out) == len(awkward)
-    assert {r["fingerprint"] for r in out if r["doc_id"] in (1, 2, 3, 4)} == {"0" * 256}
+    prints = {r["doc_id"]: r["fingerprint"] for r in out}
+    assert prints[1] == prints[2] == "0" * 256 and len({prints[i] for i in (2, 3, 4, 5)}) == 4
     (one,) = neighbours.fingerprint_neighbours(frame([(3, "abcd")])).collect()
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1.0
     assert neighbours.fingerprint_neighbours(frame([])).count() == 0
+
+
+def test_one_doc_id_holds_most_rows(frame, monkeypatch):
+    """Rows with one doc_id, and equal rows, are divided into ranges like others."""
+    monkeypatch.setattr(neighbours, "RANGE_BYTES", 500)
+    rng = random.Random(7)
+    rows = [(None, sentence(rng, 20)) for _ in range(80)] + [(7, "the same text " * 5)] * 80 + [(9, "last")]
+    out = neighbours.fingerprint_neighbours(frame(rows)).collect()
+    assert len(out) == len(rows)
+    inside = [r for r in out if r["doc_id"] == 7]
+    assert sorted(r["near_next"] for r in inside)[1:] == [1.0] * 79
+    text = "the same text " * 5
+    half = len(text) // 2
+    assert sum(r["edited_sha256"] == hashlib.sha256((text[: len(text) - half] + text[:half]).encode()).hexdigest() for r in inside) == 79
+    assert {r["doc_id"]: r["near_next"] for r in out}[9] < 1.0

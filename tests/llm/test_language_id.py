@@ -91,3 +91,17 @@ def test_windows_reach_the_end_of_a_long_text(frame):
     rng = random.Random(12)
     rows = [(i, sentence(rng, 6000) + " " + " ".join(["finale"] * 400), "en") for i in range(4)] + [(i + 10, sentence(rng, 50, "fr"), "fr") for i in range(4)]
     assert "finale" in li.learn(frame(rows), F.lit(True)).lexicon
+
+
+def test_every_label_is_learnt(frame, spark):
+    """However many languages there are, and however rare one is."""
+    rng = random.Random(11)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(4)) + chr(97 + k % 26) + chr(97 + k // 26) for _ in range(12)] for k in range(210)}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(40)), k) for i, k in enumerate([k for k in words for _ in range(3)])]
+    df = frame(rows)
+    chain = li.learn(df, F.lit(True))
+    assert chain.labels == sorted(words)
+
+
+def test_scripts_without_spaces_and_long_words():
+    assert li.sample("東京abcです x" + "y" * 50) == ["東", "京", "abc", "で", "す", "x" + "y" * 23, "y" * 24, "yyy"]

@@ -67,3 +67,16 @@ def test_expressions_over_lines_and_malformed_ones():
     assert found["expression"] == "mit" and found["identifiers"] == ["mit"]
     assert licenses.evaluate("(MIT OR Apache-2.0 AND ISC") == (["mit", "apache-2.0", "isc"], False)
     assert licenses.evaluate("(MIT OR Apache-2.0 and some prose behind") == (["mit", "apache-2.0", "some"], False)
+
+
+def test_punctuation_quotes_and_later_versions():
+    def found(text):
+        ((e,),) = [licenses.scan(text)["expressions"]]
+        return e["identifiers"], e["permitted"]
+
+    assert found("SPDX-License-Identifier: MIT. See file") == (["mit"], True)
+    assert found('{"SPDX-License-Identifier": "Apache-2.0 OR GPL-2.0+", "x": 1}') == (["apache-2.0", "gpl-2.0+"], True)
+    assert found("# SPDX-License-Identifier : (ISC AND Apache-2.0+)") == (["isc", "apache-2.0+"], True)
+    assert found("SPDX-License-Identifier: LicenseRef-own-1.0, and more") == (["licenseref-own-1.0"], False)
+    assert found("SPDX-License-Identifier: DocumentRef-a:LicenseRef-b") == (["documentref-a:licenseref-b"], False)
+    assert licenses.scan("spdx-license-identifier")["expressions"] == []

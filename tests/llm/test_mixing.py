@@ -68,3 +68,16 @@ def test_awkward(frame, awkward):
     assert len(out) == len(awkward) and all(0 <= r["copies"] <= 2 for r in out)
     assert mixing.mix(frame([])).count() == 0
     assert {r["copies"] for r in mixing.mix(frame([(1, None), (2, "")])).collect()} <= {0, 1, 2}
+
+
+def test_very_many_equal_rows(frame):
+    """Equal rows are decided one by one, in blocks like other rows."""
+    rows = [(1, "one two three", "en", "hot")] * 9000 + [(i, "a b " * (i % 7), "en", "cold") for i in range(2, 500)]
+    out = mixing.mix(frame(rows)).collect()
+    assert len(out) == len(rows)
+    for source in ("hot", "cold"):
+        mine = [r for r in out if r["source"] == source]
+        taken = sum(r["size"] * r["copies"] for r in mine)
+        assert abs(taken - mine[0]["target"]) <= 6 and all(r["copies"] <= 2 for r in mine)
+    again = mixing.mix(frame(rows[::-1])).collect()
+    assert sorted((r["doc_id"], r["tie"], r["copies"]) for r in out) == sorted((r["doc_id"], r["tie"], r["copies"]) for r in again)
