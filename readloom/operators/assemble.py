@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import sequences, tokens
 from readloom.functions.tokens import Transform
+from readloom.operators import decode
 from readloom.operators.decode import Decoder
 
 # Bits of a record's flag, fixed by the format.
@@ -21,12 +22,21 @@ _LETTER = {v: k for k, v in tokens.BARCODE_SOURCES.items()}
 def corrected_barcode(decoder: Decoder, offset: int = sequences.PHRED_OFFSET) -> tuple[Column, Column]:
     """Bases of the decoded class, and the observed quality where the base stands or none is decoded, else the decoder's corrected quality. An unclassified read has '=' for every observed base."""
     column = F.col(decoder.column)
-    words = F.array(F.lit("=" * decoder.width), *[F.lit(b.flat) for b in decoder.barcodes])
-    word = F.element_at(words, column["barcode_index"] + 1)
-    raw, quality = column["raw"], column["raw_quality"]
-    fixed = chr(decoder.corrected_quality + offset)
-    kept = [F.when(F.length(raw) <= j, "").when((F.substring(word, j + 1, 1) == sequences.base(raw, j)) | (column["barcode_index"] == 0), F.substring(quality, j + 1, 1)).otherwise(fixed) for j in range(decoder.width)]
-    return F.substring(word, F.lit(1), F.length(raw)), F.concat(*kept)
+    raw, quality, index = column["raw"], column["raw_quality"], column["barcode_index"]
+    fixed = F.lit(chr(decoder.corrected_quality + offset))
+    bases, kept = [], []
+    widths = decoder.transform.widths()
+    before = F.lit(0)
+    for k, width in enumerate(widths):
+        word = F.element_at(decode.listed(["=" * width, *[b.segments[k] for b in decoder.barcodes]]), index + 1)
+        length = F.length(raw) if len(widths) == 1 else column["lengths"][k]
+        bases.append(F.substring(word, F.lit(1), length))
+        for j in range(width):
+            place = before + (j + 1)
+            same = (index == 0) | (F.substring(word, j + 1, 1) == F.substring(raw, place, F.lit(1)))
+            kept.append(F.when(length <= j, "").when(same, F.substring(quality, place, F.lit(1))).otherwise(fixed))
+        before = before + length
+    return _joined(bases), F.concat(*kept)
 
 
 def _joined(parts: list[Column]) -> Column:
@@ -36,7 +46,7 @@ def _joined(parts: list[Column]) -> Column:
 def read_group(decoder: Decoder) -> Column:
     """The id of the read group of the decoded class."""
     ids = [decoder.undetermined.attributes.get("ID", "undetermined"), *[b.attributes.get("ID", b.key) for b in decoder.barcodes]]
-    return F.element_at(F.array(*[F.lit(i) for i in ids]), F.col(f"{decoder.column}.barcode_index") + 1)
+    return F.element_at(decode.listed(ids), F.col(f"{decoder.column}.barcode_index") + 1)
 
 
 def topic_columns(decoders: list[Decoder], offset: int = sequences.PHRED_OFFSET) -> dict[str, Column]:

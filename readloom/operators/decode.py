@@ -3,6 +3,7 @@
 Every decoder adds one struct column:
 
     raw, raw_quality     the observed bases and qualities, segments joined
+    lengths              the observed bases of each segment (null for a single one)
     barcode_index        the class, 0 for unclassified
     best_index           the class that a likelihood decoder preferred before its filters, 0 for none
     distance             mismatches to the class
@@ -11,8 +12,9 @@ Every decoder adds one struct column:
     low                  the filter that the read failed: '', 'confidence' or 'conditional'
     fail                 the read fails quality control here
 
-Scores come from one Arrow kernel, in which those of a batch are one matrix product, whatever the size of the
-codec. Codecs of at most `unrolled` base comparisons may become JVM expressions instead; both give the same classes.
+Scores come from one Arrow kernel, in which those of a batch and of some thousand barcodes are one matrix product,
+so that memory does not grow with the codec. Each segment is held against its own part of a barcode, however short
+it was read. Barcodes whose likelihoods differ by less than rounding are equal, and the first one is taken. Codecs of at most `unrolled` base comparisons may become JVM expressions instead; both give the same classes.
 The kernel is the default: it was faster even for 16 barcodes of 8 bases, and a filter on a decoder's result
 stays above it, where the optimiser would copy unrolled scores into every use.
 """
@@ -31,6 +33,11 @@ from readloom.functions import sequences, tokens
 from readloom.functions.tokens import Transform
 
 
+#: Likelihoods that differ by less than this share are equal.
+TIE = 1e-9
+#: Cells of a matrix of reads and barcodes that a kernel holds at once.
+CELLS = 1 << 21
+
 
 @dataclass(frozen=True)
 class Barcode:
@@ -91,7 +98,7 @@ class Decoder:
 
 def _result(**given: Column) -> Column:
     defaults = {
-        "raw": F.lit(""), "raw_quality": F.lit(""), "barcode_index": F.lit(0), "best_index": F.lit(0), "distance": F.lit(0), "high_quality_distance": F.lit(0),
+        "raw": F.lit(""), "raw_quality": F.lit(""), "lengths": F.lit(None).cast("array<int>"), "barcode_index": F.lit(0), "best_index": F.lit(0), "distance": F.lit(0), "high_quality_distance": F.lit(0),
         "conditional": F.lit(0.0), "confidence": F.lit(0.0), "low": F.lit(""), "fail": F.lit(False),
     }
     return F.struct(*[given.get(k, v).alias(k) for k, v in defaults.items()])
@@ -102,7 +109,8 @@ def _pick(scores: list[Column], best: Column, values: list) -> Column:
     out = None
     for s, v in zip(scores, values, strict=True):
         v = v if isinstance(v, Column) else F.lit(v)
-        out = F.when(s == best, v) if out is None else out.when(s == best, v)
+        tied = s >= best * (1 - TIE)
+        out = F.when(tied, v) if out is None else out.when(tied, v)
     return out
 
 
@@ -112,7 +120,7 @@ def _filters(decoder: Decoder) -> Column:
     sure = F.col("_confidence") > decoder.confidence_threshold
     bad = F.lit(False) if decoder.high_quality_distance_threshold <= 0 else F.col("_high") >= decoder.high_quality_distance_threshold
     return _result(
-        raw=F.col("_raw"), raw_quality=F.col("_raw_quality"),
+        raw=F.col("_raw"), raw_quality=F.col("_raw_quality"), lengths=F.col("_lengths"),
         barcode_index=F.when(likely, F.col("_best")).otherwise(0), best_index=F.col("_best"),
         distance=F.when(likely, F.col("_distance")).otherwise(0), high_quality_distance=F.col("_high"),
         conditional=F.col("_conditional"), confidence=F.when(likely, F.col("_confidence")).otherwise(0.0),
@@ -121,8 +129,13 @@ def _filters(decoder: Decoder) -> Column:
     )
 
 
+def listed(values: list[str]) -> Column:
+    """A constant array of texts without control characters: one literal, whatever its length."""
+    return F.split(F.lit("\n".join(values)), "\n", -1)
+
+
 def _likelihood_unrolled(df: DataFrame, decoder: Decoder, offset: int) -> DataFrame:
-    width, raw, qualities = decoder.width, F.col("_raw"), F.col("_raw_quality")
+    width, raw, qualities = decoder.width, F.col("_padded"), F.col("_padded_quality")
     place = {f"_o{j}": sequences.base(raw, j) for j in range(width)} | {f"_q{j}": F.when(F.length(qualities) > j, sequences.quality(qualities, j, offset)).otherwise(0) for j in range(width)}
     df = df.withColumns(place)
     costs = F.array(*[F.lit(c) for c in sequences.MATCH_COSTS])
@@ -149,7 +162,7 @@ def _likelihood_unrolled(df: DataFrame, decoder: Decoder, offset: int) -> DataFr
         "_conditional": F.when(F.col("_top") > 0, _pick(joint, F.col("_top"), [F.col(f"_c{i}") for i in range(len(joint))])).otherwise(0.0),
         "_confidence": F.when(F.col("_top") > 0, F.col("_top") / (sequences.total(joint) + F.lit(decoder.noise * decoder.random))).otherwise(0.0),
     })
-    words = F.element_at(F.array(*[F.lit(b.flat) for b in decoder.barcodes]), F.greatest(F.col("_best"), F.lit(1)))
+    words = F.element_at(listed([b.flat for b in decoder.barcodes]), F.greatest(F.col("_best"), F.lit(1)))
     df = df.withColumn("_word", words)
     miss = [F.substring("_word", j + 1, 1) != F.col(f"_o{j}") for j in range(width)]
     return df.withColumns({
@@ -173,7 +186,7 @@ def _letters(column: pa.Array, width: int) -> np.ndarray:
 
 
 def score_batch(raw: np.ndarray, quality: np.ndarray, words: np.ndarray, concentration: np.ndarray, noise_floor: float, high: int) -> dict[str, np.ndarray]:
-    """Likelihood scores of a batch by one matrix product. raw, quality: (n, width) letters (0: missing) and qualities; words: (barcodes, width) letters."""
+    """Likelihood scores of a batch by matrix products over parts of the codec. raw, quality: (n, width) letters (0: missing) and qualities; words: (barcodes, width) letters."""
     costs = np.array(sequences.MATCH_COSTS)
     bases = np.frombuffer(sequences.UNAMBIGUOUS.encode(), np.uint8)
     known = np.isin(raw, bases)
@@ -182,17 +195,27 @@ def score_batch(raw: np.ndarray, quality: np.ndarray, words: np.ndarray, concent
     saved = np.where((q > 0) & known, costs[np.clip(q, 0, len(costs) - 1)] - q, 0.0)
     ambiguous = np.where(q > 0, sequences.UNIFORM_COST - mismatch, 0.0)
     left = np.hstack([np.where(raw == b, saved, 0.0) for b in bases] + [ambiguous])
-    right = np.hstack([words == b for b in bases] + [~np.isin(words, bases)]).astype(float)
-    conditional = 10.0 ** ((mismatch.sum(1)[:, None] + left @ right.T) / -10.0)
-    joint = conditional * concentration
-    best = joint.argmax(1)
-    rows = np.arange(len(raw))
-    top = joint[rows, best]
+    worst = mismatch.sum(1)[:, None]
+    n = len(raw)
+    rows = np.arange(n)
+    best, top, chosen, total = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+    step = max(64, CELLS // max(1, n))
+    for at in range(0, len(words), step):
+        some = words[at : at + step]
+        right = np.hstack([some == b for b in bases] + [~np.isin(some, bases)]).astype(float)
+        conditional = 10.0 ** ((worst + left @ right.T) / -10.0)
+        joint = conditional * concentration[at : at + step]
+        highest = joint.max(1)
+        first = (joint >= highest[:, None] * (1 - TIE)).argmax(1)
+        better = highest > top * (1 + TIE)
+        best = np.where(better, at + first, best)
+        top, chosen = np.where(better, joint[rows, first], top), np.where(better, conditional[rows, first], chosen)
+        total += joint.sum(1)
     some = top > 0
     miss = words[best] != raw
     return {
-        "best": np.where(some, best + 1, 0), "conditional": np.where(some, conditional[rows, best], 0.0),
-        "confidence": np.where(some, top / np.maximum(joint.sum(1) + noise_floor, 1e-300), 0.0),
+        "best": np.where(some, best + 1, 0), "conditional": np.where(some, chosen, 0.0),
+        "confidence": np.where(some, top / np.maximum(total + noise_floor, 1e-300), 0.0),
         "distance": np.where(some, miss.sum(1), 0), "high": np.where(some & (high > 0), (miss & (q >= high)).sum(1), 0),
     }
 
@@ -209,7 +232,7 @@ def _likelihood_kernel(df: DataFrame, decoder: Decoder, offset: int) -> DataFram
         return pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in kind], fields=list(kind))
 
     # said to be nondeterministic, so that a filter on the result isn't pushed below it and makes it run twice
-    scored = F.arrow_udf(kernel, "best int, conditional double, confidence double, distance int, high int").asNondeterministic()(F.col("_raw"), F.col("_raw_quality"))
+    scored = F.arrow_udf(kernel, "best int, conditional double, confidence double, distance int, high int").asNondeterministic()(F.col("_padded"), F.col("_padded_quality"))
     df = df.withColumn("_scored", scored)
     return df.withColumns({f"_{f.name}": F.col(f"_scored.{f.name}") for f in kind}).drop("_scored")
 
@@ -221,57 +244,79 @@ def _likelihood(df: DataFrame, decoder: Decoder, observed: list[tuple[Column, Co
 
 def _minimum_distance(df: DataFrame, decoder: Decoder, observed: list[tuple[Column, Column]], offset: int, unrolled: int) -> tuple[DataFrame, Column]:
     """An exact match by lookup, else the first barcode of which every segment is within its tolerance."""
-    words: dict[str, int] = {}
-    for i, b in enumerate(decoder.barcodes):
-        words.setdefault(b.flat, i + 1)
-    exact = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.col("_raw")), F.lit(0))
-    df = df.withColumn("_exact", exact)
     names = [(f"_s{i}", f"_t{i}") for i in range(len(observed))]
-    mask = decoder.quality_masking_threshold
     if decoder.comparisons > unrolled:
-        near = _near_kernel(decoder, offset)(*[F.col(c) for pair in names for c in pair])
-        df = df.withColumn("_near", near).withColumns({"_near_index": F.col("_near.index"), "_near_distance": F.col("_near.distance")})
+        near = _near_kernel(decoder, offset)(F.col("_raw"), *[F.col(c) for pair in names for c in pair])
+        df = df.withColumn("_near", near)
+        found, distance = F.col("_near.index"), F.col("_near.distance")
     else:
-        index = distance = None
+        found = distance = None
+        exact = lambda b: F.col("_raw") == b.flat
         for i, b in enumerate(decoder.barcodes):
-            apart = [sequences.hamming_of_observed(F.col(s), word, F.col(q), mask, offset) for (s, q), word in zip(names, b.segments, strict=True)]
+            found = F.when(exact(b), i + 1) if found is None else found.when(exact(b), i + 1)
+            distance = F.when(exact(b), 0) if distance is None else distance.when(exact(b), 0)
+        for i, b in enumerate(decoder.barcodes):
+            apart = [sequences.hamming_of_observed(F.col(s), word, F.col(q), decoder.quality_masking_threshold, offset) for (s, q), word in zip(names, b.segments, strict=True)]
             df = df.withColumns({f"_apart{i}_{k}": a for k, a in enumerate(apart)})
             apart = [F.col(f"_apart{i}_{k}") for k in range(len(apart))]
             within = F.lit(True)
             for a, most in zip(apart, decoder.tolerance, strict=True):
                 within = within & (a <= most)
-            index = F.when(within, i + 1) if index is None else index.when(within, i + 1)
-            distance = F.when(within, sequences.total(apart)) if distance is None else distance.when(within, sequences.total(apart))
-        df = df.withColumns({"_near_index": index, "_near_distance": distance})
-    found = F.when(F.col("_exact") > 0, F.col("_exact")).otherwise(F.coalesce("_near_index", F.lit(0)))
-    distance = F.when(F.col("_exact") > 0, 0).otherwise(F.coalesce("_near_distance", F.lit(0)))
-    return df, _result(raw=F.col("_raw"), raw_quality=F.col("_raw_quality"), barcode_index=found, best_index=found, distance=distance, fail=found == 0)
+            found, distance = found.when(within, i + 1), distance.when(within, sequences.total(apart))
+        found, distance = found.otherwise(0), distance.otherwise(0)
+    return df, _result(raw=F.col("_raw"), raw_quality=F.col("_raw_quality"), lengths=F.col("_lengths"), barcode_index=found, best_index=found, distance=distance, fail=found == 0)
+
+
+def nearest(segments: list[np.ndarray], words: list[np.ndarray], tolerance: tuple[int, ...], low: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first barcode of which every segment is within its tolerance (0: none), and its distance. segments, words: (n, width) letters of each segment, 0 beyond the end of a short one; low: bases that count as errors whatever they are."""
+    n = len(segments[0])
+    index, distance = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    letters = np.frombuffer(sequences.IUPAC.encode(), np.uint8)
+    # agreeing bases are counted by one product of one-hot letters a segment
+    left, length = [], []
+    for k, raw in enumerate(segments):
+        seen = raw if low is None else np.where(low[k], 1, raw)
+        left.append(np.hstack([seen == c for c in letters]).astype(np.float32))
+        length.append((raw != 0).sum(1).astype(np.float32))
+    left_over = np.arange(n)
+    step = max(64, CELLS // max(1, n))
+    for at in range(0, len(words[0]), step):
+        if not len(left_over):
+            break
+        within, total = True, 0
+        for k, word in enumerate(words):
+            some = word[at : at + step]
+            right = np.hstack([some == c for c in letters]).astype(np.float32)
+            apart = length[k][left_over, None] - left[k][left_over] @ right.T
+            within, total = within & (apart <= tolerance[k]), total + apart
+        first = within.argmax(1)
+        hit = within[np.arange(len(first)), first]
+        index[left_over[hit]] = at + first[hit] + 1
+        distance[left_over[hit]] = total[np.flatnonzero(hit), first[hit]]
+        left_over = left_over[~hit]
+    return index, distance
 
 
 def _near_kernel(decoder: Decoder, offset: int) -> Callable[..., Column]:
-    """The first barcode within tolerance, for codecs too large to unroll."""
+    """The barcode that equals the observed bases, found by binary search, else the first one within tolerance."""
     words = [np.array([list(b.segments[k].encode()) for b in decoder.barcodes], np.uint8) for k in range(len(decoder.transform.knit))]
+    flat = np.array([b.flat for b in decoder.barcodes], f"S{decoder.width}")
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
     tolerance, mask = decoder.tolerance, decoder.quality_masking_threshold
     kind = pa.struct([("index", pa.int32()), ("distance", pa.int32())])
 
     def kernel(*columns: pa.Array) -> pa.Array:
         n = len(columns[0])
-        index, distance = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        for at in range(0, n, 2048):
-            within, total = True, 0
-            for k, word in enumerate(words):
-                raw = _letters(columns[2 * k].slice(at, 2048), word.shape[1])
-                there = raw != 0
-                apart = (raw[:, None, :] != word[None]) & there[:, None, :]
-                if mask > 0:
-                    low = _letters(columns[2 * k + 1].slice(at, 2048), word.shape[1]).astype(np.int64) - offset < mask
-                    apart |= (low & there)[:, None, :]
-                apart = apart.sum(2)
-                within, total = within & (apart <= tolerance[k]), total + apart
-            first = within.argmax(1)
-            hit = within[np.arange(len(first)), first]
-            index[at : at + 2048] = np.where(hit, first + 1, 0)
-            distance[at : at + 2048] = np.where(hit, total[np.arange(len(first)), first], 0)
+        seen = np.ascontiguousarray(_letters(columns[0], decoder.width)).view(f"S{decoder.width}").reshape(n)
+        place = np.minimum(np.searchsorted(ordered, seen), len(ordered) - 1)
+        index = np.where(ordered[place] == seen, order[place] + 1, 0).astype(np.int32)
+        distance = np.zeros(n, np.int32)
+        rest = np.flatnonzero(index == 0)
+        if len(rest):
+            segments = [_letters(columns[1 + 2 * k], word.shape[1])[rest] for k, word in enumerate(words)]
+            low = [(_letters(columns[2 + 2 * k], word.shape[1])[rest].astype(np.int64) - offset < mask) & (segments[k] != 0) for k, word in enumerate(words)] if mask > 0 else None
+            index[rest], distance[rest] = nearest(segments, words, tolerance, low)
         return pa.StructArray.from_arrays([pa.array(index), pa.array(distance)], fields=list(kind))
 
     def call(*columns: Column) -> Column:
@@ -282,13 +327,26 @@ def _near_kernel(decoder: Decoder, offset: int) -> Callable[..., Column]:
 
 
 def _naive(df: DataFrame, decoder: Decoder, observed: list[tuple[Column, Column]], offset: int, unrolled: int) -> tuple[DataFrame, Column]:
-    return df, _result(raw=F.col("_raw"), raw_quality=F.col("_raw_quality"))
+    return df, _result(raw=F.col("_raw"), raw_quality=F.col("_raw_quality"), lengths=F.col("_lengths"))
 
 
 def _passthrough(df: DataFrame, decoder: Decoder, observed: list[tuple[Column, Column]], offset: int, unrolled: int) -> tuple[DataFrame, Column]:
     return df, _result()
 
 
+def _joined(decoder: Decoder, n: int, offset: int) -> dict[str, Column]:
+    """The segments joined as they are, and each filled to its width, with bases of code 0 and quality 0, so that a short one moves none behind it."""
+    bases, qualities = [F.col(f"_s{i}") for i in range(n)], [F.col(f"_t{i}") for i in range(n)]
+    if n == 1:
+        return {"_raw": bases[0], "_raw_quality": qualities[0], "_padded": bases[0], "_padded_quality": qualities[0], "_lengths": F.lit(None).cast("array<int>")}
+    out = {"_raw": F.concat(*bases), "_raw_quality": F.concat(*qualities), "_lengths": F.array(*[F.length(b) for b in bases])}
+    if decoder.algorithm != "pamld":
+        return out
+    widths = decoder.transform.widths()
+    padded = lambda columns, fill: F.concat(*[F.rpad(c, w, fill) for c, w in zip(columns[:-1], widths[:-1], strict=True)], columns[-1])
+    return out | {"_padded": padded(bases, "\0"), "_padded_quality": padded(qualities, chr(offset))}
+
+
 Builder = Callable[[DataFrame, Decoder, list, int, int], tuple[DataFrame, Column]]
 _ALGORITHMS: dict[str, Builder] = {"pamld": _likelihood, "mdd": _minimum_distance, "naive": _naive, "passthrough": _passthrough}
 
@@ -310,7 +368,7 @@ def decode(df: DataFrame, decoder: Decoder, source: dict[str, tuple[Column, Colu
     observed = tokens.apply(decoder.transform, source)
     if observed:
         df = df.withColumns({f"_s{i}": s for i, (s, _) in enumerate(observed)} | {f"_t{i}": q for i, (_, q) in enumerate(observed)})
-        df = df.withColumns({"_raw": F.concat(*[F.col(f"_s{i}") for i in range(len(observed))]), "_raw_quality": F.concat(*[F.col(f"_t{i}") for i in range(len(observed))])})
+        df = df.withColumns(_joined(decoder, len(observed), offset))
     df, result = _ALGORITHMS[decoder.algorithm](df, decoder, observed, offset, unrolled)
     return df.withColumn(decoder.column, result).select(*columns, decoder.column)
 

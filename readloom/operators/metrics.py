@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,29 @@ def shannon_bound(distance: int) -> int:
     return max(0, (distance - 1) // 2)
 
 
+def _minimum_distance(words: list[str]) -> int:
+    """Smallest distance between any two of several distinct words of one width: that number of places which, left out, makes two words equal."""
+    if len(words) <= 64:
+        return min(hamming(a, b) for a, b in combinations(words, 2))
+    letters = np.array([list(w.encode()) for w in words], np.uint8)
+    width = letters.shape[1]
+    salt = np.random.default_rng(1).integers(1, 1 << 62, (width, 256), dtype=np.uint64) | np.uint64(1)
+    marked = salt[np.arange(width), letters]  # a hash of each base at its place; a word's is their sum
+    with np.errstate(over="ignore"):
+        whole = marked.sum(1, dtype=np.uint64)
+        for distance in range(1, width):
+            for places in combinations(range(width), distance):
+                rest = np.sort(whole - marked[:, places].sum(1, dtype=np.uint64))
+                if (rest[1:] == rest[:-1]).any():
+                    return distance
+    return width
+
+
 def minimum_distances(barcodes: list[tuple[str, ...]]) -> tuple[int, ...]:
     """Smallest distance between distinct words of each segment; of one word alone, its width."""
     out = []
     for words in map(list, map(dict.fromkeys, zip(*barcodes, strict=True))):
-        out.append(min((hamming(a, b) for a, b in combinations(words, 2)), default=len(words[0])))
+        out.append(_minimum_distance(words) if len(words) > 1 else len(words[0]))
     return tuple(out)
 
 
