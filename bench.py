@@ -57,7 +57,7 @@ def main() -> None:
     def full() -> None:
         decoded = decode.decode_all(stored, syn.decoders(), syn.source())
         made = assemble.assemble(decoded, Transform.parse({"token": ["0:16:", "2::"]}), syn.decoders(), syn.source(), ["name"])
-        assemble.sam_lines(made, 2).select("line").write.format("noop").mode("overwrite").save()
+        assemble.sam_lines(made, 2, assemble.absent_tags(syn.decoders())).select("line").write.format("noop").mode("overwrite").save()
 
     def estimate() -> None:
         d = [syn.sample_decoder()]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Container
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,28 +111,31 @@ def assemble(df: DataFrame, template: Transform, decoders: list[Decoder], source
 
 
 def short_float(value: Column) -> Column:
-    """A number as text with six significant digits, like the C format %g."""
-    value = value.cast("double")
-    scientific = F.format_string("%.5e", value)
-    exponent = F.substring_index(scientific, "e", -1)
-    power = exponent.cast("int")
-    fixed = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(5 - power, F.lit(0)).cast("string"), F.lit("f")), value)
-    plain = power.between(-4, 5)
-    digits = F.regexp_replace(F.when(plain, fixed).otherwise(F.substring_index(scientific, "e", 1)), r"(\.\d*?)0+$", "$1")
-    digits = F.regexp_replace(digits, r"\.$", "")
-    return F.when(value == 0, "0").when(plain, digits).otherwise(F.concat(digits, F.lit("e"), exponent))
-
-
-def tag_text(tags: str = "tags", segment: Column | None = None, total: Column | None = None) -> Column:
-    """Annotations in order, joined by tabs; empty ones, and numbers that are not positive, are left out."""
+    """A number as text with six significant digits, like the C format %g; null and what is not positive as the empty string."""
+
+    def kernel(column: pa.Array) -> pa.Array:
+        numbers = column.to_numpy(zero_copy_only=False)
+        out = np.full(len(numbers), "", object)
+        some = np.flatnonzero(numbers > 0)
+        out[some] = ["%g" % x for x in numbers[some].tolist()]
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(kernel, "string")(value.cast("double"))
+
+
+def tag_text(tags: str = "tags", segment: Column | None = None, total: Column | None = None, absent: Container[str] = ()) -> Column:
+    """Annotations in order, joined by tabs; empty ones, and numbers that are not positive, are left out. absent: annotations that no read has, as the plan knows."""
     parts = []
     for tag in TAGS:
         name, kind = tag.split(":")
         value = F.col(f"{tags}.{name}")
         if name in ("FI", "TC") and segment is not None:
             value = F.when(total > 2, segment if name == "FI" else total)
-        there = value.isNotNull() & ((value != "") if kind == "Z" else (value > 0))
-        parts.append(F.when(there, F.concat(F.lit(f"{tag}:"), short_float(value) if kind == "f" else value.cast("string"))))
+        if name in absent:
+            continue
+        shown = short_float(value) if kind == "f" else value.cast("string")
+        there = (value > 0) if kind == "i" else (shown != "")
+        parts.append(F.when(there, F.concat(F.lit(f"{tag}:"), shown)))
     return F.concat_ws("\t", *parts)
 
 
@@ -139,11 +146,18 @@ def sam_text(records: DataFrame) -> Column:
     return F.when(annotations == "", fixed).otherwise(F.concat(fixed, F.lit("\t"), annotations))
 
 
-def sam_lines(assembled: DataFrame, n: int) -> DataFrame:
+def absent_tags(decoders: list[Decoder], others: Container[str] = ()) -> set[str]:
+    """Annotations that neither the decoders make nor the input has (others)."""
+    made = topic_columns(decoders)
+    return {t[:2] for t in TAGS if t[:2] not in made and t[:2] not in others and t[:2] not in ("FI", "TC")}
+
+
+def sam_lines(assembled: DataFrame, n: int, absent: Container[str] = ()) -> DataFrame:
     """SAM lines of assembled reads of n output segments: the other columns, segment and line. Annotations that all segments share are written once a read."""
     others = [c for c in assembled.columns if c not in ("segments", "tags")]
     shared = [assembled[c] for c in others]
-    texts = [tag_text("tags", F.lit(i + 1), F.lit(n)) for i in range(n if n > 2 else 1)]
+    absent = {*absent, *(() if n > 2 else ("FI", "TC"))}
+    texts = [tag_text("tags", F.lit(i + 1), F.lit(n), absent) for i in range(n if n > 2 else 1)]
     read = assembled.select(*shared, F.col("name").alias("_name"), F.array(*texts).alias("_tags"), "segments").select(*others, "_name", "_tags", F.explode("segments").alias("_s"))
     annotations = F.element_at("_tags", F.col("_s.segment") if n > 2 else F.lit(1))
     star = lambda c: F.when(F.col(f"_s.{c}") == "", "*").otherwise(F.col(f"_s.{c}"))

@@ -172,11 +172,77 @@ def bases_with_quality(df: DataFrame, sequence: Column, qualities: Column, keep:
     return one.select(*keep, "cycle", "base", F.greatest(F.least(q, F.lit(sequences.PHRED_BINS - 1)), F.lit(0)).alias("quality"))
 
 
-def cycle_histogram(bases: DataFrame, keep: list[str]) -> DataFrame:
-    """Reads per (keep, cycle, base, quality), and per cycle and quality over all bases (base '*'), in one pass."""
+#: Bytes of counts that a task holds before it hands them on.
+_HELD = 64 << 20
+
+
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a column of ASCII strings, nulls empty."""
+    column = column.cast(pa.string()).fill_null("")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    body = column.buffers()[2]
+    return ends, np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(1, np.uint8)
+
+
+def base_counts(df: DataFrame, sequence: Column, qualities: Column, keep: list[str], offset: int = sequences.PHRED_OFFSET) -> DataFrame:
+    """Partial counts n of bases per keep (integers), cycle (from 0), base and quality (0 to 41, held there), counted where the reads are: a few rows a task and no row a base."""
+    letters, bins = sequences.IUPAC, sequences.PHRED_BINS
+    code = np.full(256, letters.index("N"), np.int64)
+    code[[ord(c) for c in letters]] = range(len(letters))
+    names = [*keep, "cycle", "base", "quality", "n"]
+
+    def emit(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        parts = [[] for _ in names]
+        for key, counts in held.items():
+            cycle, letter, quality = np.nonzero(counts)
+            for column, value in zip(parts, [*(np.full(len(cycle), k) for k in key), cycle, letter, quality, counts[cycle, letter, quality]], strict=True):
+                column.append(value)
+        joined = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in parts]
+        shown = pa.array(np.array(list(letters), object)[joined[-3]], pa.string())
+        return pa.record_batch([*(pa.array(c, pa.int32()) for c in joined[:-3]), shown, pa.array(joined[-2], pa.int32()), pa.array(joined[-1], pa.int64())], names)
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            keys = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(keep))]) if keep else np.zeros((batch.num_rows, 0), np.int64)
+            (begin, bases), (begin_q, quals) = _buffers(batch.column(len(keep))), _buffers(batch.column(len(keep) + 1))
+            length, length_q = np.diff(begin), np.diff(begin_q)
+            if not length.sum():
+                continue
+            combos, which = np.unique(keys, axis=0, return_inverse=True)
+            row = np.repeat(np.arange(batch.num_rows), length)
+            cycle = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            letter = code[bases[begin[0] : begin[-1]]]
+            quality = np.where(cycle < length_q[row], quals[np.minimum(begin_q[:-1][row] + cycle, len(quals) - 1)].astype(np.int64) - offset, 0).clip(0, bins - 1)
+            shape = (len(combos), int(length.max()), len(letters), bins)
+            cell = ((which.reshape(-1)[row] * shape[1] + cycle) * shape[2] + letter) * shape[3] + quality
+            if np.prod(shape) <= _HELD // 8:
+                dense = np.bincount(cell, minlength=int(np.prod(shape))).reshape(shape)
+                found = ((tuple(k), dense[i]) for i, k in enumerate(combos.tolist()))
+            else:
+                found = ((tuple(k), np.bincount(cell[which[row] == i] - i * int(np.prod(shape[1:])), minlength=int(np.prod(shape[1:]))).reshape(shape[1:])) for i, k in enumerate(combos.tolist()))
+            for key, counts in found:
+                old = held.get(key)
+                if old is not None:
+                    long, short = (counts, old) if len(counts) >= len(old) else (old, counts)
+                    long = long.copy()
+                    long[: len(short)] += short
+                    counts = long
+                held[key] = counts
+                if sum(c.nbytes for c in held.values()) > _HELD:
+                    yield emit(held)
+                    held.clear()
+        yield emit(held)
+
+    narrow = df.select(*[F.col(k).cast("int").alias(k) for k in keep], sequence.alias("_sequence"), qualities.alias("_qualities"))
+    return narrow.mapInArrow(run, ", ".join([*(f"{k} int" for k in keep), "cycle int, base string, quality int, n long"]))
+
+
+def cycle_histogram(counts: DataFrame, keep: list[str]) -> DataFrame:
+    """Reads per (keep, cycle, base, quality), and per cycle and quality over all bases (base '*'). counts: of base_counts()."""
     keys = [*keep, "cycle", "base", "quality"]
     sets = [[F.col(k) for k in keys], [F.col(k) for k in keys if k != "base"]]
-    return bases.groupingSets(sets, *keys).agg(F.count("*").alias("n")).select(*keep, "cycle", F.coalesce("base", F.lit("*")).alias("base"), "quality", "n")
+    return counts.groupingSets(sets, *keys).agg(F.sum("n").alias("n")).select(*keep, "cycle", F.coalesce("base", F.lit("*")).alias("base"), "quality", "n")
 
 
 def histogram_stats(histogram: DataFrame, keys: list[str]) -> DataFrame:

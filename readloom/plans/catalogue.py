@@ -321,6 +321,71 @@ def pamld_large_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("read_index", _int("sample_0.best_index"), F.round(posterior, 5).alias("posterior"))
 
 
+_EVEN = (1 - syn.NOISE) / 16
+_EVEN_CODEC = "even(barcode_index, word) AS (VALUES " + ", ".join(f"({i + 1}, '{w}')" for i, w in enumerate(syn.WORDS)) + ")"
+
+
+@query(
+    f"""{READS}, {_EVEN_CODEC}, scored AS (SELECT read_index, barcode_index, {_sigma()} AS cost FROM reads, even),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY read_index ORDER BY round(cost, 7), barcode_index) AS place, sum(pow(10.0::DOUBLE, cost / -10.0::DOUBLE)) OVER (PARTITION BY read_index) AS total FROM scored)
+SELECT read_index, barcode_index::BIGINT AS best_index, round(pow(10.0::DOUBLE, cost / -10.0::DOUBLE) * {_EVEN!r}::DOUBLE / (total * {_EVEN!r}::DOUBLE), 6) AS posterior FROM ranked WHERE place = 1"""
+)
+def pamld_equal_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With equal priors, barcodes often tie: the first one of them is taken."""
+    out = _decoded(spark, sf_dir, barcodes=syn.barcodes(tuple(_EVEN for _ in syn.WORDS)), random_probability=0.0, confidence_threshold=0.0, high_quality_distance_threshold=0)
+    return out.select("read_index", _int("sample_0.best_index"), F.round("sample_0.confidence", 6).alias("posterior"))
+
+
+_DUAL = [(a, syn.WORDS[(5 * i + 3) % 16]) for i, a in enumerate(syn.WORDS)]
+_DUAL_CODEC = "dual(barcode_index, word1, word0) AS (VALUES " + ", ".join(f"({i + 1}, '{a}', '{b}')" for i, (a, b) in enumerate(_DUAL)) + ")"
+_ZERO = {"seq": "s0_seq", "qual": "s0_qual", "word": "word0"}
+_DUAL_COST = f"{_sigma(word='word1')} + {_sigma(**_ZERO)}"
+
+
+def _dual(spark: SparkSession, sf_dir: str, **changes) -> DataFrame:
+    """Two segments, of which the first one is short in some reads."""
+    codec = tuple(decode.Barcode(f"@{a}{b}", (a, b), _EVEN) for a, b in _DUAL)
+    decoder = syn.sample_decoder(transform=Transform.parse({"token": ["1::8", "0::8"]}), barcodes=codec, undetermined=decode.Barcode("undetermined", ("=" * 8, "=" * 8), syn.NOISE), **changes)
+    return decode.decode_all(syn.reads(spark, sf_dir), [decoder], syn.source()).withColumns(dict(zip(("corrected", "corrected_quality"), assemble.corrected_barcode(decoder), strict=True)))
+
+
+_DUAL_BEST = f"""{READS}, {_DUAL_CODEC}, costs AS (SELECT read_index, barcode_index, word1, word0, {_DUAL_COST} AS cost, {_apart(word='word1')} + {_apart(seq='s0_seq', word='word0')} AS distance FROM reads, dual),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY read_index ORDER BY round(cost, 7), barcode_index) AS place FROM costs),
+best AS (SELECT *, pow(10.0::DOUBLE, cost / -10.0::DOUBLE) > 0.000000001::DOUBLE AS likely FROM ranked WHERE place = 1)"""
+
+
+@query(f"{_DUAL_BEST} SELECT read_index, barcode_index::BIGINT AS best_index, CASE WHEN likely THEN barcode_index ELSE 0 END::BIGINT AS barcode_index, CASE WHEN likely THEN distance ELSE 0 END::BIGINT AS distance, round(cost, 6) AS cost FROM best")
+def pamld_short_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _dual(spark, sf_dir, random_probability=1e-9)
+    return out.select("read_index", _int("sample_0.best_index"), _int("sample_0.barcode_index"), _int("sample_0.distance"), F.round(-10 * F.log10("sample_0.conditional"), 6).alias("cost"))
+
+
+def _corrected_of(n: int, seq: str, qual: str, word: str) -> tuple[str, str]:
+    return (
+        f"substring(CASE WHEN likely THEN {word} ELSE '{'=' * n}' END, 1, length({seq}))",
+        "concat(" + ", ".join(f"CASE WHEN length({seq}) <= {j} THEN '' WHEN NOT likely OR {_o(j, seq)} = substring({word}, {j + 1}, 1) THEN substring({qual}, {j + 1}, 1) ELSE '{chr(30 + 33)}' END" for j in range(n)) + ")",
+    )
+
+
+_FRONT0 = "cut AS (SELECT b.read_index, b.likely, b.word1, b.word0, s1_seq, s1_qual, substring(s0_seq, 1, 8) AS f_seq, substring(s0_qual, 1, 8) AS f_qual FROM best b JOIN reads r ON b.read_index = r.read_index)"
+_PARTS = _corrected_of(8, "s1_seq", "s1_qual", "word1"), _corrected_of(8, "f_seq", "f_qual", "word0")
+
+
+@query(f"{_DUAL_BEST}, {_FRONT0} SELECT read_index, concat({_PARTS[0][0]}, {_PARTS[1][0]}) AS seq, concat({_PARTS[0][1]}, {_PARTS[1][1]}) AS qual FROM cut")
+def corrected_short_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dual(spark, sf_dir, random_probability=1e-9).select("read_index", F.col("corrected").alias("seq"), F.col("corrected_quality").alias("qual"))
+
+
+@query(
+    f"""{READS}, {_DUAL_CODEC}, apart AS (SELECT read_index, barcode_index, concat(substring(s1_seq, 1, 8), substring(s0_seq, 1, 8)) = concat(word1, word0) AS exact, {_apart_observed(word='word1')} AS apart1, {_apart_observed(**_ZERO)} AS apart0 FROM reads, dual),
+held AS (SELECT *, row_number() OVER (PARTITION BY read_index ORDER BY exact DESC, barcode_index) AS place FROM apart WHERE exact OR (apart1 <= 2 AND apart0 <= 2))
+SELECT r.read_index, coalesce(barcode_index, 0)::BIGINT AS barcode_index, CASE WHEN exact THEN 0 ELSE coalesce(apart1 + apart0, 0) END::BIGINT AS distance FROM reads r LEFT JOIN (SELECT * FROM held WHERE place = 1) h ON r.read_index = h.read_index"""
+)
+def mdd_short_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _dual(spark, sf_dir, algorithm="mdd", distance_tolerance=(2, 2))
+    return out.select("read_index", _int("sample_0.barcode_index"), _int("sample_0.distance"))
+
+
 # ---------------------------------------------------------------- other decoders and their chain
 
 
@@ -383,7 +448,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_TEXT} SELECT read_index, tags FROM tagged")
 def sam_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = assemble.assemble(_chain(spark, sf_dir), Transform.parse(_OUT), syn.decoders(), syn.source(), ["read_index"])
-    return made.select("read_index", assemble.tag_text().alias("tags"))
+    return made.select("read_index", assemble.tag_text(absent=assemble.absent_tags(syn.decoders())).alias("tags"))
 
 
 @query(
@@ -392,7 +457,7 @@ UNION ALL SELECT read_index, 2, concat(name, chr(9), CASE WHEN failed2 THEN '653
 )
 def sam_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = assemble.assemble(_chain(spark, sf_dir), Transform.parse(_OUT), syn.decoders(), syn.source(), ["read_index", "name"])
-    return assemble.sam_lines(made, 2).select("read_index", "segment", "line")
+    return assemble.sam_lines(made, 2, assemble.absent_tags(syn.decoders())).select("read_index", "segment", "line")
 
 
 @query(
@@ -490,12 +555,12 @@ _BASES = f"{DECODED}, places AS (SELECT unnest(generate_series(0, 50)) AS cycle)
 
 def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _decoded(spark, sf_dir).withColumn("channel", F.col("sample_0.barcode_index"))
-    return stats.bases_with_quality(reads, F.col("s2_seq"), F.col("s2_qual"), ["channel"])
+    return stats.base_counts(reads, F.col("s2_seq"), F.col("s2_qual"), ["channel"])
 
 
 @query(f"{_BASES} SELECT channel, cycle::INT AS cycle, base, quality, count(*) AS n FROM bases GROUP BY ALL")
 def cycle_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bases(spark, sf_dir).groupBy("channel", "cycle", "base", "quality").agg(F.count("*").alias("n"))
+    return _bases(spark, sf_dir).groupBy("channel", "cycle", "base", "quality").agg(F.sum("n").alias("n"))
 
 
 @query(f"{_BASES} SELECT channel, cycle::INT AS cycle, coalesce(base, '*') AS base, quality, count(*) AS n FROM bases GROUP BY GROUPING SETS ((channel, cycle, base, quality), (channel, cycle, quality))")
@@ -516,7 +581,7 @@ stats AS (SELECT cycle, sum(n)::BIGINT AS count, sum(n * quality)::BIGINT AS sum
     f"{_STATS} SELECT cycle, count, sum_quality, max_quality, min_quality, q1, median_quality, q3, round(sum_quality::DOUBLE / count, 9) AS mean_quality, q3 - q1 AS iqr, greatest(q1 - (q3 - q1) * 1.5, min_quality)::DOUBLE AS left_whisker, least(q3 + (q3 - q1) * 1.5, max_quality)::DOUBLE AS right_whisker FROM stats"
 )
 def cycle_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    histogram = _bases(spark, sf_dir).groupBy("cycle", "quality").agg(F.count("*").alias("n"))
+    histogram = _bases(spark, sf_dir).groupBy("cycle", "quality").agg(F.sum("n").alias("n"))
     out = stats.histogram_stats(histogram, ["cycle"])
     doubles = ("left_whisker", "right_whisker")
     return out.select("cycle", "count", "sum_quality", "max_quality", "min_quality", "q1", "median_quality", "q3", F.round("mean_quality", 9).alias("mean_quality"), "iqr", *[F.col(c).cast("double").alias(c) for c in doubles])

@@ -4,6 +4,7 @@ import math
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,27 @@ def test_metrics(spark):
     assert metrics.shannon_bound(1) == 0
     matrix = {(r["segment"], r["i"], r["j"]): (r["distance"], r["bound"]) for r in metrics.distance_matrix(metrics.codec_frame(spark, words), 4).collect()}
     assert matrix[0, 1, 3] == (4, 1) and matrix[0, 1, 2] == (2, 0) and matrix[1, 1, 2][0] == 1
+
+
+def test_a_very_large_codec():
+    """100,000 barcodes: exact and nearest matches and likelihoods in bounded memory, minimum distance without all pairs."""
+    import resource
+
+    from readloom.operators import metrics
+
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    words = np.unique(letters[rng.integers(0, 4, (100_000, 16))], axis=0)
+    picked = rng.integers(0, len(words), 300)
+    raw = words[picked].copy()
+    raw[::3, 5] = letters[(np.searchsorted(letters, raw[::3, 5]) + 1) % 4]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    index, distance = decode.nearest([raw], [words], (1,))
+    assert ((index - 1 == picked) | (distance <= 1)).all() and (index > 0).all()
+    got = decode.score_batch(raw, np.full(raw.shape, 30), words, np.full(len(words), 0.99 / len(words)), 0.01 * 0.25**16, 30)
+    assert (got["best"] > 0).all() and (got["best"] - 1 == picked)[1::3].all()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+    few = [bytes(w).decode() for w in words[:400]]
+    plain = min(metrics.hamming(a, b) for i, a in enumerate(few) for b in few[:i])
+    assert metrics.minimum_distances([(w,) for w in few]) == (plain,)
+    assert metrics.minimum_distances([(bytes(w).decode(),) for w in words])[0] in (1, 2)

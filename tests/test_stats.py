@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ def test_average_quality(spark):
 
 @pytest.mark.parametrize("value", [1.29412e-06, 0.5, 0.123456789, 1e-4, 9.99999e-5, 1.0, 12.5, 123456.7, 1234567.0, 0.00012345678, 3e-10])
 def test_short_float(spark, value):
-    assert spark.range(1).select(assemble.short_float(F.lit(value))).first()[0] == f"{value:g}"
+    assert spark.range(1).select(assemble.short_float(F.lit(value))).first()[0] == (f"{value:g}" if value > 0 else "")
 
 
 def test_flags_and_corrected(spark, decoded):
@@ -82,3 +84,13 @@ def test_flags_and_corrected(spark, decoded):
     assert r["segments"][1]["seq"] == word[: len(r["sample_0"]["raw"])]
     three = assemble.records(out).where("segment = 2").select(assemble.tag_text("tags", F.col("segment"), F.col("total"))).first()[0]
     assert three.startswith("FI:i:2\tTC:i:3\tRG:Z:")
+
+
+def test_base_counts_against_a_row_per_base(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 3), "".join(rng.choice("ACGTN") for _ in range(n)), "".join(chr(rng.randint(33, 80)) for _ in range(max(0, n - rng.randint(0, 1))))) for n in [rng.randint(0, 30) for _ in range(400)]] + [(1, None, None)]
+    df = spark.createDataFrame(rows, "k int, s string, q string")
+    flat = stats.bases_with_quality(df, F.col("s"), F.col("q"), ["k"]).groupBy("k", "cycle", "base", "quality").count()
+    counted = stats.base_counts(df, F.col("s"), F.col("q"), ["k"]).groupBy("k", "cycle", "base", "quality").agg(F.sum("n"))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, flat.collect()))
+    assert stats.base_counts(df.limit(0), F.col("s"), F.col("q"), []).count() == 0
