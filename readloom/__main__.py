@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import shlex
 import sys
 
 from readloom.functions.tokens import PlanError
@@ -77,6 +78,7 @@ def main(arguments: list[str] | None = None) -> int:
             print(json.dumps(config.sort_keys(config.clean(job)), indent=4))
             return 0
         inputs = [compiler.Url.parse(u, job.get("base input url", "")) for u in job.get("input") or []]
+        job = {"application name": "readloom", "full command": shlex.join(["readloom", *(sys.argv[1:] if arguments is None else arguments)])} | job
         plan = compiler.compile_job(job, engine.sense(inputs) if options.sense_input else None, options.token)
         if options.validate:
             print(compiler.describe(plan), end="")

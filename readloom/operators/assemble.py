@@ -139,9 +139,9 @@ def tag_text(tags: str = "tags", segment: Column | None = None, total: Column |
     return F.concat_ws("\t", *parts)
 
 
-def sam_text(records: DataFrame) -> Column:
+def sam_text(records: DataFrame, absent: Container[str] = ()) -> Column:
     """A SAM line of name, segment, total, flag, seq, qual and tags columns."""
-    annotations = tag_text("tags", F.col("segment"), F.col("total"))
+    annotations = tag_text("tags", F.col("segment"), F.col("total"), absent)
     fixed = F.concat_ws("\t", F.col("name"), F.col("flag").cast("string"), F.lit("*\t0\t0\t*\t*\t0\t0"), F.when(F.col("seq") == "", "*").otherwise(F.col("seq")), F.when(F.col("qual") == "", "*").otherwise(F.col("qual")))
     return F.when(annotations == "", fixed).otherwise(F.concat(fixed, F.lit("\t"), annotations))
 

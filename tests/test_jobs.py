@@ -135,8 +135,11 @@ def test_filters_profile_and_priors(spark, lane):
     document = job(**{"base input url": str(lane), "output": ["/dev/null"], "filter incoming qc fail": True, "enable quality control": True})
     result = engine.run(spark, compiler.compile_job(document))
     assert result.files == [] and result.report["outgoing"]["count"] == 102
-    segment = result.report["multiplex"][0]["segment"][0]
-    assert segment["max sequence length"] == 20 and len(segment["cycle"]) == 20 and segment["cycle"][0]["nucleotide"]["*"]["median quality"] == 40
+    segment = result.report["multiplex"][0]["quality control by segment"][0]
+    cycles = segment["quality control by cycle"]["cycle quality distribution"]
+    assert segment["max sequence length"] == 20 and len(cycles["cycle count"]) == 20 and set(cycles["cycle quality median"]) == {40}
+    n = result.report["sample"]["unclassified"]["count"]
+    assert sum(b["nucleotide count"] for b in segment["quality control by nucleotide"]) == 20 * n and segment["average phred score report"]["average phred score distribution"][40] == n
     adjusted = tools.estimate_priors(spark, document)
     estimated = {k: v["concentration"] for k, v in adjusted["sample"]["codec"].items()}
     assert sum(estimated.values()) == pytest.approx(1 - adjusted["sample"]["noise"])
