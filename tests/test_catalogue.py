@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from readloom.plans import catalogue
+from readloom.plans import catalogue, file_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
