@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text worked on at once in a Python worker.
 CHUNK_BYTES = 1 << 20
+#: Bytes of text of which the arrays (8 bytes a byte) stay in a core's cache.
+CACHE_BYTES = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
@@ -122,13 +124,18 @@ def tidy(batches: Iterable) -> Iterator:
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds at most `most` bytes in the column, or one row; freed memory is given back at the end."""
     for batch in tidy(batches):
-        sizes = np.cumsum(lengths(batch.column(batch.schema.get_field_index(column))))
-        at = 0
-        while at < batch.num_rows:
-            base = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
-            yield batch.slice(at, to - at)
-            at = to
+        yield from pieces(batch, column, most)
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """One batch, cut like that."""
+    sizes = np.cumsum(lengths(batch.column(batch.schema.get_field_index(column))))
+    at = 0
+    while at < batch.num_rows:
+        base = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def lengths(column: pa.Array) -> np.ndarray:
