@@ -29,9 +29,10 @@ _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send a thousand rows at once to Python, not ten thousand: texts are long, and workers share an executor's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Send a thousand rows and 8 MB at once to Python, not ten thousand and 64 MB: texts are long, and workers share an executor's memory."""
+    for key, usual, wanted in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", wanted) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", wanted)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
