@@ -13,7 +13,7 @@ import contextlib
 import ctypes
 import functools
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,14 @@ def steady(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of a bounded number of rows, made without Python workers. schema: `name type, ...` of long, int, double and string."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields]))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of any store that Spark reaches."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -122,6 +130,19 @@ def tidy(batches: Iterable) -> Iterator:
         give_back()
 
 
+def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a generator over batches, with freed memory given back when it is through and its variables are gone."""
+
+    @functools.wraps(run)
+    def through(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return through
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds at most `most` bytes in the column, or one row; freed memory is given back at the end."""
     for batch in tidy(batches):

@@ -235,7 +235,7 @@ def learn(docs: DataFrame, rows: Column, text: str = "text", label: str = "lang"
         return None
     # a little over the wanted rows of each label are drawn by the hash, then cut to the bound; equal rows are drawn once
     edges = [(r["label"], min((int(min(1.0, 1.5 * (SAMPLE_DOCS + 20) / r["count"]) * (1 << 32)) << 32) - (1 << 63), (1 << 63) - 1)) for r in counted]
-    edges = F.broadcast(docs.sparkSession.createDataFrame(edges, "label string, edge long"))
+    edges = F.broadcast(common.small_table(docs.sparkSession, edges, "label string, edge long"))
     drawn = labelled.join(edges, "label").where("draw <= edge").dropDuplicates(["label", "draw"])
     drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("draw", "text"))).where(F.col("place") <= SAMPLE_DOCS)
     # windows of a long text are taken in the executors

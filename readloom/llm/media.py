@@ -85,4 +85,4 @@ def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k
                     column.append(rgb.tobytes() if c == "rgb" else feature(rgb) if c == "feature" else zlib.crc32(np.ascontiguousarray(rgb)) if c == "rgb_crc32" else have[c])
             yield pa.record_batch([batch.column(0), *(pa.array(v, COLUMNS[c]) for c, v in rows.items())], ["doc_id", *keep])
 
-    return narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {_SQL[c]}" for c in keep))
+    return narrow.mapInArrow(common.freed(run), "doc_id long, " + ", ".join(f"{c} {_SQL[c]}" for c in keep))

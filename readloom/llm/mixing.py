@@ -130,7 +130,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     totals = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()}
     target = targets({s: v[0] for s, v in totals.items()}, weights, share, most)
     rows = [(s, size, float(target[s]), target[s] / size if size else 0.0, math.ceil(n / BLOCK)) for s, (size, n) in totals.items()]
-    plan = docs.sparkSession.createDataFrame(rows or [(None, 0, 0.0, 0.0, 1)], "source string, source_size long, target double, ratio double, blocks long")
+    plan = common.small_table(docs.sparkSession, rows, "source string, source_size long, target double, ratio double, blocks long")
     # equal rows get numbers, in parts that are dealt out where there are many
     parts = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {NUMBERED} as int)"))))
     if not sized.where(F.col("n") > NUMBERED).isEmpty():

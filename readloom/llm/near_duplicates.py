@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     """The pairs (a, b) whose texts are similar enough: (a, b, similarity). texts: (doc_id, text), one row a doc_id."""
     one, other = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_checker(shingle, similarity, counted), "a long, b long, similarity double")
+    return both.mapInArrow(common.freed(_checker(shingle, similarity, counted)), "a long, b long, similarity double")
 
 
 def _mixed(held: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -203,7 +203,7 @@ def _sizer(shingle: int, counted: bool):
 
 def _shareable(texts: DataFrame, classes: DataFrame, shingle: int, counted: bool, scratch: common.Scratch) -> DataFrame:
     """Of each node (node, text): n, the weight of its shingles, and that of those which a node of another class has as well, dealt to GROUPS parts s0, s1, ... by their hash. classes: (node, class)."""
-    grams = scratch.steady(texts.select("node", "text").mapInArrow(_sizer(shingle, counted), "node long, shingle long, weight long").join(classes, "node"))
+    grams = scratch.steady(texts.select("node", "text").mapInArrow(common.freed(_sizer(shingle, counted)), "node long, shingle long, weight long").join(classes, "node"))
     single = scratch.steady(grams.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle"))
     part = F.pmod("shingle", F.lit(GROUPS))
     shared = grams.join(single, "shingle").groupBy("node").agg(*[F.sum(F.when(part == i, F.col("weight")).otherwise(0)).cast("int").alias(f"s{i}") for i in range(GROUPS)])
@@ -216,7 +216,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     steady = scratch.steady
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     usable = narrow.where("doc_id is not null and text is not null").withColumn("text_key", F.xxhash64("text"))
-    sketches = steady(usable.select("doc_id", "text", "text_key").mapInArrow(_sketcher(shingle, bands, rows, counted), _SKETCH))
+    sketches = steady(usable.select("doc_id", "text", "text_key").mapInArrow(common.freed(_sketcher(shingle, bands, rows, counted)), _SKETCH))
     # equal shingle sets: one node, named by the smallest doc_id and read in one of its texts
     nodes = steady(sketches.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("of")).select("d1", "d2", F.col("of.doc_id").alias("node"), "of.*"))
     member = steady(sketches.groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("rows")))

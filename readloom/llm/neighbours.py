@@ -110,9 +110,9 @@ def fingerprint_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "d
     firsts = {r["region"]: r["first"] for r in located.groupBy("region").agg(F.min(keys).alias("first")).collect()}
     order = sorted(firsts)
     sent = [(*firsts[r][:2], r, order[i - 1]) for i, r in enumerate(order)]
-    sent = F.broadcast(docs.sparkSession.createDataFrame(sent, "k1 long, k2 long, region long, before long"))
+    sent = F.broadcast(common.small_table(docs.sparkSession, sent, "k1 long, k2 long, region long, before long"))
     helpers = located.join(sent, ["k1", "k2", "region"]).groupBy("before").agg(F.min_by(F.struct("doc_id", "text", "k1", "k2", "k3"), "k3").alias("d"))
     helpers = helpers.select(F.col("before").alias("region"), F.lit(True).alias("helper"), "d.*")
     rows = located.select("region", F.lit(False).alias("helper"), "doc_id", "text", "k1", "k2", "k3").unionByName(helpers)
     dealt = rows.repartitionById(len(cuts) + 1, F.col("region").cast("int")).sortWithinPartitions("region", "helper", "k1", "k2", "k3")
-    return dealt.select("region", "doc_id", "text", "helper").mapInArrow(_stream(samples), _SCHEMA)
+    return dealt.select("region", "doc_id", "text", "helper").mapInArrow(common.freed(_stream(samples)), _SCHEMA)

@@ -153,4 +153,4 @@ def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
             yield rows(placed, first)
         yield rows(packer.finish(), first)
 
-    return narrow.mapInArrow(run, "doc_id long, " + _SCHEMA)
+    return narrow.mapInArrow(common.freed(run), "doc_id long, " + _SCHEMA)

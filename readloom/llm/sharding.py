@@ -43,7 +43,7 @@ def _with_ranges(keyed: DataFrame, splitters: list[tuple[int, int, int]]) -> Dat
             place = search(cuts, keys)
             yield batch.append_column("range", pa.array(place, pa.int64()))
 
-    return keyed.mapInArrow(run, T.StructType([*keyed.schema.fields, T.StructField("range", T.LongType())]))
+    return keyed.mapInArrow(common.freed(run), T.StructType([*keyed.schema.fields, T.StructField("range", T.LongType())]))
 
 
 def search(cuts: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ def shards(docs: DataFrame, n: int = 8, text: str = "text", doc_id: str = "doc_i
         offset[k] = held[shard_of[k]]
         held[shard_of[k]] += rows[k]
         before += sizes[k]
-    plan = docs.sparkSession.createDataFrame([(k, shard_of[k], offset[k]) for k in shard_of] or [(0, 0, 0)], "range long, shard int, offset long")
+    plan = common.small_table(docs.sparkSession, [(k, shard_of[k], offset[k]) for k in shard_of], "range long, shard int, offset long")
     rank = F.row_number().over(Window.partitionBy("range").orderBy("k1", "k2", "k3")) - 1
     out = ranged.withColumn("rank", rank).join(F.broadcast(plan), "range")
     return out.select("doc_id", "size", "text_crc32", "range", "shard", (F.col("offset") + F.col("rank")).cast("long").alias("slot"))
