@@ -76,12 +76,12 @@ _LOWEST = -(1 << 63)
 
 
 def _quantiles(sample: list[tuple[int, int, int]], parts: int) -> list[tuple[int, int, int]]:
-    """Boundaries at quantiles of the sample, moved to where a text begins; within a text only if the sample holds no other."""
+    """Boundaries at quantiles of the sample, moved to where a text begins; within a text only if the sample holds no other. If all fall into the first text, all others are parted from it at once."""
     if not sample:
         return []
     cuts = [sample[len(sample) * i // parts] for i in range(1, parts)]
     if sample[0][0] != sample[-1][0]:
-        cuts = [(k, _LOWEST, _LOWEST) for k, _, _ in cuts if k != sample[0][0]] or [(sample[-1][0], _LOWEST, _LOWEST)]
+        cuts = [(k, _LOWEST, _LOWEST) for k, _, _ in cuts if k != sample[0][0]] or [(next(k for k, _, _ in sample if k != sample[0][0]), _LOWEST, _LOWEST)]
     return cuts
 
 

@@ -47,3 +47,10 @@ def test_awkward(frame, awkward):
     check(awkward, sharding.shards(frame(awkward), 8).collect())
     check([(1, "x")], sharding.shards(frame([(1, "x")]), 8).collect())
     assert sharding.shards(frame([]), 8).count() == 0
+
+
+def test_a_text_that_fills_most_of_a_range_is_parted_at_once():
+    """One round parts the copies of a text from all texts behind them, the next divides the copies."""
+    copies, others = [(1, i, 0) for i in range(30)], [(k, 0, 0) for k in range(2, 12)]
+    assert sharding._quantiles(copies + others, 2) == [(2, sharding._LOWEST, sharding._LOWEST)]
+    assert sharding._quantiles(copies, 2) == [(1, 15, 0)]
