@@ -203,11 +203,13 @@ def _sizer(shingle: int, counted: bool):
 
 def _shareable(texts: DataFrame, classes: DataFrame, shingle: int, counted: bool, scratch: common.Scratch) -> DataFrame:
     """Of each node (node, text): n, the weight of its shingles, and that of those which a node of another class has as well, dealt to GROUPS parts s0, s1, ... by their hash. classes: (node, class)."""
-    grams = scratch.steady(texts.select("node", "text").mapInArrow(common.freed(_sizer(shingle, counted)), "node long, shingle long, weight long").join(classes, "node"))
-    single = scratch.steady(grams.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle"))
+    grams = scratch.table(texts.select("node", "text").mapInArrow(common.freed(_sizer(shingle, counted)), "node long, shingle long, weight long").join(classes, "node"))
+    single = scratch.table(grams.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle"))
     part = F.pmod("shingle", F.lit(GROUPS))
     shared = grams.join(single, "shingle").groupBy("node").agg(*[F.sum(F.when(part == i, F.col("weight")).otherwise(0)).cast("int").alias(f"s{i}") for i in range(GROUPS)])
-    return grams.groupBy("node").agg(F.sum("weight").alias("n")).join(shared, "node", "left").fillna(0)
+    out = scratch.table(grams.groupBy("node").agg(F.sum("weight").alias("n")).join(shared, "node", "left").fillna(0))
+    scratch.drop(grams)
+    return out
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = True) -> DataFrame:
@@ -216,7 +218,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     steady = scratch.steady
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     usable = narrow.where("doc_id is not null and text is not null").withColumn("text_key", F.xxhash64("text"))
-    sketches = steady(usable.select("doc_id", "text", "text_key").mapInArrow(common.freed(_sketcher(shingle, bands, rows, counted)), _SKETCH))
+    sketches = scratch.table(usable.select("doc_id", "text", "text_key").mapInArrow(common.freed(_sketcher(shingle, bands, rows, counted)), _SKETCH))
     # equal shingle sets: one node, named by the smallest doc_id and read in one of its texts
     nodes = steady(sketches.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("of")).select("d1", "d2", F.col("of.doc_id").alias("node"), "of.*"))
     member = steady(sketches.groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("rows")))
@@ -229,21 +231,21 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     member = steady(member.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]))
     first = sketches.select("d1", "d2", "bands", "doc_id", "text_key").join(nodes, ["d1", "d2", "doc_id", "text_key"])
     first = first.dropDuplicates(["node"]) if repeated else first
-    banded = steady(first.select("node", F.explode("bands").alias("key")))
+    banded = scratch.table(first.select("node", F.explode("bands").alias("key")))
     met = steady(banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader != last").select("key", "leader"))
-    met = steady(banded.join(met, "key"))
+    met = scratch.table(banded.join(met, "key"))
     stars = steady(met.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     joined = None
     if not stars.isEmpty():
         # the texts of all candidates, fetched once
         ids = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key")
         texts = usable.join(ids, ["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text")
-        texts = steady(texts.dropDuplicates(["doc_id"]) if repeated else texts)
+        texts = scratch.table(texts.dropDuplicates(["doc_id"]) if repeated else texts)
         links = steady(verified(stars, texts, shingle, similarity, counted).select("a", "b"))
         joined = components(links, scratch=scratch)
         # bands with nodes of several components: the pairs between components, but for those checked already
-        held = steady(met.join(joined, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
-        held = steady(_mixed(held, scratch))
+        held = scratch.table(met.join(joined, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
+        held = scratch.table(_mixed(held, scratch))
         more = None if held.isEmpty() else _between(held, stars, texts, shingle, similarity, counted, scratch)
         if more is not None and not more.isEmpty():
             links = links.unionByName(more)
@@ -269,15 +271,16 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
 def _between(held: DataFrame, stars: DataFrame, texts: DataFrame, shingle: int, similarity: float, counted: bool, scratch: common.Scratch) -> DataFrame:
     """Links between nodes of different components that share a band. held: (key, node, class) of the bands that hold several components; stars: the pairs that were checked."""
     steady = scratch.steady
-    open_texts = steady(texts.withColumnRenamed("doc_id", "node").join(held.select("node").distinct(), "node", "left_semi"))
-    shared = steady(_shareable(open_texts, held.select("node", "class").distinct(), shingle, counted, scratch))
-    held = steady(held.join(shared, "node"))
+    open_texts = scratch.table(texts.withColumnRenamed("doc_id", "node").join(held.select("node").distinct(), "node", "left_semi"))
+    shared = _shareable(open_texts, held.select("node", "class").distinct(), shingle, counted, scratch)
+    scratch.drop(open_texts)
+    held = scratch.table(held.join(shared, "node"))
     # what two nodes of different components share is at most the smaller part of each group; most nodes have no partner within the bound
     parts = [f"s{i}" for i in range(GROUPS)]
     all_shared = sum((F.col(c) for c in parts), F.lit(0))
     least = steady(held.groupBy("key").agg(F.min("n").alias("smallest")))
     most = all_shared >= F.lit(similarity - 1e-9) * (F.col("n") + F.greatest(F.col("smallest"), all_shared) - all_shared)
-    held = steady(_mixed(held.join(least, "key").where(most).select("key", "node", "class", "n", *parts), scratch))
+    held = scratch.table(_mixed(held.join(least, "key").where(most).select("key", "node", "class", "n", *parts), scratch))
     other = held.select("key", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in parts])
     together = sum((F.least(F.col(c), F.col(f"{c}_b")) for c in parts), F.lit(0))
     between = held.withColumnRenamed("node", "a").join(other, "key").where((F.col("class") != F.col("class_b")) & (F.col("a") < F.col("b")) & (together >= F.lit(similarity - 1e-9) * (F.col("n") + F.col("n_b") - together)))
