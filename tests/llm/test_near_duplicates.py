@@ -116,3 +116,17 @@ def test_counted_weights(frame):
     found = {r["doc_id"]: r["class_id"] for r in nd.classes(frame(rows), counted=False).collect()}
     assert found == {1: 1, 2: 1, 3: 1}
     assert classes(frame, rows) == {1: 1, 2: 1, 3: 3}
+
+
+def test_wide_rows_are_packed(frame, monkeypatch):
+    """Shingles and their counts in groups never lie in checkpoints, which are not packed."""
+    rng = random.Random(21)
+    shared = sentence(rng, 40)
+    at_rest, steady = [], nd.common.steady
+    monkeypatch.setattr(nd.common, "steady", lambda df: at_rest.append(df.columns) or steady(df))
+    table, tables = nd.common.Scratch.table, []
+    monkeypatch.setattr(nd.common.Scratch, "table", lambda self, df: tables.append(df.columns) or table(self, df))
+    out = nd.classes(frame([(i, shared + " " + sentence(rng, 40)) for i in range(6)]), bands=26, rows=1)
+    assert out.where("doc_id = class_id").count() == 6
+    assert any("s0" in c for c in tables + at_rest)
+    assert not any("s0" in c or "shingle" in c or "bands" in c for c in at_rest)
