@@ -1,7 +1,10 @@
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from readloom.llm import common, graph
 
@@ -56,3 +59,21 @@ def test_components(spark):
     got = {r["node"]: r["class"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_result_lets_go_of_exchanges(spark):
+    """Exchanges that nobody reads any more do not stay until the driver happens to collect its garbage."""
+
+    def exchanges():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return set(re.findall(r"shuffle_\d+_", blocks.toString()))
+
+    before = exchanges()
+    spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.format("noop").mode("overwrite").save()
+    assert (made := exchanges() - before)
+    common.Scratch().result(spark.range(3))
+    for _ in range(50):
+        if not made & exchanges():
+            break
+        time.sleep(0.1)
+    assert not made & exchanges()
