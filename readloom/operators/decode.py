@@ -12,8 +12,8 @@ Every decoder adds one struct column:
     low                  the filter that the read failed: '', 'confidence' or 'conditional'
     fail                 the read fails quality control here
 
-Scores come from one Arrow kernel, in which those of a batch and of some thousand barcodes are one matrix product,
-so that memory does not grow with the codec. Each segment is held against its own part of a barcode, however short
+Scores come from one Arrow kernel, which works on some reads of a batch at a time, the fewer the larger the codec is.
+Likelihoods are rounded as in SQL, to the last bit; distances are matrix products. Each segment is held against its own part of a barcode, however short
 it was read. Barcodes whose likelihoods differ by less than rounding are equal, and the first one is taken. Codecs of at most `unrolled` base comparisons may become JVM expressions instead; both give the same classes.
 The kernel is the default: it was faster even for 16 barcodes of 8 bases, and a filter on a decoder's result
 stays above it, where the optimiser would copy unrolled scores into every use.
@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,31 +187,34 @@ def _letters(column: pa.Array, width: int) -> np.ndarray:
 
 
 def score_batch(raw: np.ndarray, quality: np.ndarray, words: np.ndarray, concentration: np.ndarray, noise_floor: float, high: int) -> dict[str, np.ndarray]:
-    """Likelihood scores of a batch by matrix products over parts of the codec. raw, quality: (n, width) letters (0: missing) and qualities; words: (barcodes, width) letters."""
+    """Likelihood scores of a batch, some reads at a time. raw, quality: (n, width) letters (0: missing) and qualities; words: (barcodes, width) letters.
+
+    Error probabilities are printed with six digits of what a confidence near 1 leaves, so each step rounds as SQL does, whatever the batch and the processor: costs are added from the first
+    base to the last, joint likelihoods from the largest to the smallest, and powers are those of the C library (Arrow's; numpy has its own on some processors)."""
     costs = np.array(sequences.MATCH_COSTS)
     bases = np.frombuffer(sequences.UNAMBIGUOUS.encode(), np.uint8)
-    known = np.isin(raw, bases)
+    n, width = raw.shape
     q = np.where(raw == 0, 0, quality)
-    mismatch = np.where(q <= 0, 0.0, np.where(known, q, sequences.UNIFORM_COST))
-    saved = np.where((q > 0) & known, costs[np.clip(q, 0, len(costs) - 1)] - q, 0.0)
-    ambiguous = np.where(q > 0, sequences.UNIFORM_COST - mismatch, 0.0)
-    left = np.hstack([np.where(raw == b, saved, 0.0) for b in bases] + [ambiguous])
-    worst = mismatch.sum(1)[:, None]
-    n = len(raw)
-    rows = np.arange(n)
+    known = np.isin(raw, bases)
+    differs = np.where(q <= 0, 0.0, np.where(known, q, sequences.UNIFORM_COST))
+    equals = np.where((q > 0) & known, costs[np.clip(q, 0, len(costs) - 1)], differs)
+    vague = np.where(q > 0, sequences.UNIFORM_COST, 0.0)
+    # the row of a place's costs that a barcode takes: one for each base, the last for ambiguous ones
+    taken = np.where(np.isin(words, bases), np.searchsorted(bases, words), len(bases))
     best, top, chosen, total = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
-    step = max(64, CELLS // max(1, n))
-    for at in range(0, len(words), step):
-        some = words[at : at + step]
-        right = np.hstack([some == b for b in bases] + [~np.isin(some, bases)]).astype(float)
-        conditional = 10.0 ** ((worst + left @ right.T) / -10.0)
-        joint = conditional * concentration[at : at + step]
-        highest = joint.max(1)
-        first = (joint >= highest[:, None] * (1 - TIE)).argmax(1)
-        better = highest > top * (1 + TIE)
-        best = np.where(better, at + first, best)
-        top, chosen = np.where(better, joint[rows, first], top), np.where(better, conditional[rows, first], chosen)
-        total += joint.sum(1)
+    step = max(1, CELLS // len(words))
+    for at in range(0, n, step):
+        some = slice(at, at + step)
+        cost = np.zeros((len(words), len(raw[some])))
+        for j in range(width):
+            cost += np.vstack([*(np.where(raw[some, j] == b, equals[some, j], differs[some, j]) for b in bases), vague[some, j]])[taken[:, j]]
+        conditional = pc.power(10.0, pa.array((cost / -10.0).ravel())).to_numpy().reshape(cost.shape)
+        joint = conditional * concentration[:, None]
+        # the first of those that are equal but for rounding
+        first = (joint >= joint.max(0) * (1 - TIE)).argmax(0)
+        rows = np.arange(len(first))
+        best[some], top[some], chosen[some] = first, joint[first, rows], conditional[first, rows]
+        total[some] = np.add.accumulate(np.sort(joint.T, axis=1)[:, ::-1], axis=1)[:, -1]
     some = top > 0
     miss = words[best] != raw
     return {

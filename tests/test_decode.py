@@ -77,6 +77,30 @@ def test_likelihood(spark, unrolled):
         assert r["confidence"] == pytest.approx(posterior, rel=1e-9)
 
 
+def test_likelihoods_to_the_last_bit():
+    """Costs are added from the first base, joint likelihoods from the largest, one by one, whatever reads are scored together."""
+    decoder = syn.sample_decoder()
+    rows = [(s, q) for s, q in observations(400) if len(s) == 8]
+    letters = lambda texts: np.array([list(t.encode()) for t in texts], np.uint8)
+    raw, quality, words = letters(s for s, _ in rows), letters(q for _, q in rows).astype(np.int64) - 33, letters(b.flat for b in decoder.barcodes)
+    floor = decoder.noise * decoder.random
+    score = lambda some: decode.score_batch(raw[some], quality[some], words, np.array([b.concentration for b in decoder.barcodes]), floor, 30)
+    got = score(slice(None))
+    for i, (s, q) in enumerate(rows):
+        joint = []
+        for b in decoder.barcodes:
+            phred = 0.0
+            for e, o, x in zip(b.flat, s, quality[i].tolist(), strict=True):
+                phred += cost(e, o, x)
+            joint.append(math.pow(10.0, phred / -10.0) * b.concentration)
+        total = 0.0
+        for x in sorted(joint, reverse=True):
+            total += x
+        assert got["confidence"][i] == max(joint) / (total + floor), (s, q)
+    for at in (0, 7, len(rows) - 1):
+        assert score(slice(at, at + 1))["confidence"][0] == got["confidence"][at]
+
+
 def test_ambiguous_barcode_base(spark):
     codec = (Barcode("a", ("ACNT",), 0.5), Barcode("b", ("GGGG",), 0.49))
     decoder = Decoder("sample", "pamld", Transform.parse({"token": ["1::4"]}), codec, noise=0.01)
