@@ -58,6 +58,11 @@ def test_annotations_round_as_in_sql(spark, tmp_path):
     assert len(got) == len(DELICATE) and got == expected
 
 
+def test_sam_lines_round_as_in_sql(spark, tmp_path):
+    got, expected = both_ways(spark, tmp_path, "sam_text")
+    assert len(got) == 2 * len(DELICATE) and got == expected
+
+
 def test_entry(spark):
     import __spark_entry__
 
